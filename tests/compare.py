@@ -19,6 +19,9 @@ TABLES = (
 ).split()
 
 
+SPARK_SECONDS: dict[str, float] = {}
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -70,8 +73,10 @@ def rows_of(names, records):
 
 def compare(name, spark, con, sf_dir, query, sql):
     """None when equal, else a description of the first difference."""
+    t = time.time()
     df = query(spark, sf_dir)
     got_names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    SPARK_SECONDS[name] = time.time() - t
     if sql is None:
         return None if got else "no rows"
     cur = con.execute(sql)
@@ -105,7 +110,7 @@ def main() -> int:
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         failed += problem is not None
         kind = "sql" if name in sqls else "rows"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} [{kind}] {time.time() - t:.1f}s {(problem or '')[:1800]}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} [{kind}] {SPARK_SECONDS.get(name, 0):.1f}s of {time.time() - t:.1f}s {(problem or '')[:1800]}", flush=True)
     print(f"{len(names) - failed}/{len(names)} ok")
     return 1 if failed else 0
 

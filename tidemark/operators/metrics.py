@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import or_zero, ratio
@@ -201,8 +201,8 @@ def metric_delta(scores: DataFrame, baseline: str, candidate: str, by: str = "mo
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight n / (k * n_c) per class; a table of k rows."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    kinds = counts.agg(F.count(F.lit(1))).scalar()
+    every_class = Window.partitionBy()  # one row per class by now
+    total, kinds = F.sum("n").over(every_class), F.count(F.lit(1)).over(every_class)
     return counts.withColumn("weight", F.try_divide(total.cast("double"), kinds * F.col("n")))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles
@@ -149,7 +149,8 @@ def label_distribution(df: DataFrame, label: str, by: Sequence[str] = ()) -> Dat
         return counts.join(totals, list(by)).withColumn(
             "percentage", _share(F.col("n"), F.col("total"))
         ).drop("total")
-    return counts.withColumn("percentage", _share(F.col("n"), _total(counts, "n")))
+    every_label = Window.partitionBy()  # one row per label by now
+    return counts.withColumn("percentage", _share(F.col("n"), F.sum("n").over(every_label)))
 
 
 def label_by_year(df: DataFrame, label: str, labels: Sequence, ts: str = "Date") -> DataFrame:
