@@ -1 +1,207 @@
-"""Stub."""
+"""Model training, scoring, attribution and masking tests on the feature table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import fixtures as fx
+from tidemark.catalog.base import FEATURE_SQL, FEATURES, PREDICTIONS, query, r, rounded
+from tidemark.catalog.features import features, table
+from tidemark.operators import explain as ex
+from tidemark.operators.models import evaluate, train, train_eval
+from tidemark.operators.stats import seeded_sample
+from tidemark.plans.modelling import explain_model, faithfulness_table, first_rows
+from tidemark.sources.storage import fresh_path, stored
+
+LABEL = "target_classification"
+SMALL = {
+    "random_forest": dict(numTrees=10, maxDepth=5),
+    "xgboost": dict(maxIter=3, maxDepth=3),
+    "lightgbm": dict(maxIter=3, maxDepth=2),
+    "neural_baseline": dict(hidden=(16,), maxIter=20),
+}
+
+
+def training_table(spark, sf):
+    return stored(table(spark, sf).select("split", "Symbol", "Date", *FEATURES, LABEL), "features")
+
+
+def fitted(df, name: str):
+    return train(df.where("split = 'train'"), FEATURES, LABEL, name, **SMALL[name])
+
+
+def fit_query(key: str, *names: str):
+    def run(spark, sf):
+        """Metrics of each split after fitting on train."""
+        df = training_table(spark, sf)
+        out = None
+        for name in names:
+            part = evaluate(fitted(df, name), df, LABEL).withColumn("model", F.lit(name))
+            out = part if out is None else out.unionByName(part)
+        return rounded(out)
+
+    query(key)(run)
+
+
+fit_query("fit_rf", "random_forest")
+fit_query("fit_gbt", "xgboost", "lightgbm")
+fit_query("fit_mlp", "neural_baseline")
+
+
+@query("train_eval")
+def train_and_evaluate(spark, sf):
+    """Per-symbol test metrics of a model that was saved along the way."""
+    path = fresh_path(spark, "model")
+    _, _, per_symbol = train_eval(
+        training_table(spark, sf), FEATURES, LABEL, "random_forest", path, **SMALL["random_forest"]
+    )
+    return rounded(per_symbol)
+
+
+@query("score_batch")
+def score_batch(spark, sf):
+    df = training_table(spark, sf)
+    out = fitted(df, "random_forest").predict(df)
+    return out.select("split", "Symbol", "Date", "prediction", "probability", "confidence")
+
+
+@query("background_kmeans")
+def background_kmeans(spark, sf):
+    return ex.background(training_table(spark, sf), FEATURES, 10)
+
+
+def explained(spark, sf, n: int = 40, permutations: int = 4):
+    df = training_table(spark, sf)
+    model = fitted(df, "random_forest")
+    rows = stored(first_rows(df.where("split = 'test'"), n), "explained")
+    ground = ex.background(df, FEATURES, 10)
+    return df, model, rows, stored(ex.shapley(model, rows, ground, permutations), "attributions")
+
+
+@query("shapley_sample")
+def shapley_sample(spark, sf):
+    return rounded(explained(spark, sf)[3])
+
+
+@query("global_importance")
+def global_importance(spark, sf):
+    return rounded(ex.global_importance(explained(spark, sf)[3]))
+
+
+@query("faithfulness")
+def faithfulness(spark, sf):
+    """Masking test of every test row with the split importances' first and last feature."""
+    df = training_table(spark, sf)
+    model = fitted(df, "random_forest")
+    ranked = sorted(model.importances().items(), key=lambda kv: (-kv[1], kv[0]))
+    out = ex.masked_confidences(model, df.where("split = 'test'"), ranked[0][0], ranked[-1][0])
+    cols = ["baseline_confidence", "top_confidence", "control_confidence", "top_confidence_drop", "control_confidence_drop"]
+    return ex.row_faithfulness(out).select("Symbol", "Date", "pred_class", *cols, "faithfulness_ratio")
+
+
+@query("explain_first_row")
+def explain_first_row(spark, sf):
+    df = training_table(spark, sf)
+    out = explain_model(fitted(df, "random_forest"), df.where("split = 'test'"), 40, 4)[2]
+    return out.select("Symbol", "Date", "pred_class", "baseline_confidence", "top_confidence_drop", "control_confidence_drop", "faithfulness_ratio")
+
+
+@query("faithfulness_agg")
+def faithfulness_agg(spark, sf):
+    """Masking test of two models over the same 500 sampled rows."""
+    df = training_table(spark, sf)
+    models = {n: fitted(df, n) for n in ("random_forest", "lightgbm")}
+    importances = {
+        n: spark.createDataFrame(list(m.importances().items()), "feature string, importance double")
+        for n, m in models.items()
+    }
+    return faithfulness_table(models, importances, df.where("split = 'test'"), 500)
+
+
+_DROPS = f"""WITH {PREDICTIONS},
+c AS (SELECT model, confidence AS base, confidence * 0.8E0 - (prediction * 0.05E0) AS top, confidence * 0.95E0 + actual * 0.02E0 AS ctl FROM predictions),
+d AS (SELECT model, base, base - top AS dt, base - ctl AS dc FROM c)
+SELECT model, count(*) AS instances, round(avg(base), 4) AS baseline_confidence_mean,
+       round(avg(dt), 4) AS top_drop_mean, round(stddev_pop(dt) / sqrt(count(*)), 4) AS top_drop_sem,
+       round(avg(dc), 4) AS control_drop_mean, round(stddev_pop(dc) / sqrt(count(*)), 4) AS control_drop_sem,
+       round(avg(dt) / greatest(1E-5, abs(avg(dc))), 2) AS faithfulness_ratio,
+       round(avg(CASE WHEN dt > dc THEN 1.0E0 ELSE 0 END) * 100, 2) AS dominance_rate_pct
+FROM d GROUP BY model"""
+
+
+@query("faithfulness_formulas", _DROPS)
+def faithfulness_formulas(spark, sf):
+    """The summary formulas on confidences that follow from the predictions by rule."""
+    p = fx.predictions(spark, sf)
+    c = F.col("confidence")
+    rows = p.select(
+        "model",
+        c.alias("baseline_confidence"),
+        (c * 0.8 - F.col("prediction") * 0.05).alias("top_confidence"),
+        (c * 0.95 + F.col("actual") * 0.02).alias("control_confidence"),
+    )
+    return ex.faithfulness_summary(rows)
+
+
+# Importances that need no model: scaled mean size of a feature per rule.
+_RULES = {
+    "a": {f: 1.0 for f in FEATURES[:8]},
+    "b": {f: 0.5 for f in FEATURES[2:12]},
+    "c": {f: 2.0 for f in FEATURES[4:6]},
+    "d": {f: 0.25 for f in FEATURES[:4]},
+}
+_IMPORTANCE = "imp AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, '{f}' AS feature, round(avg(abs({f})) * {w!r}E0, 3) AS importance FROM feat"
+    for m, rule in _RULES.items()
+    for f, w in rule.items()
+) + ")"
+
+
+def importances(spark, sf):
+    means = features(spark, sf).agg(*[F.avg(F.abs(f)).alias(f) for f in FEATURES[:12]])
+    cells = F.array(
+        *[
+            F.struct(F.lit(m).alias("model"), F.lit(f).alias("feature"), F.round(F.col(f) * w, 3).alias("importance"))
+            for m, rule in _RULES.items()
+            for f, w in rule.items()
+        ]
+    )
+    return means.select(F.explode(cells).alias("e")).select("e.*")
+
+
+@query(
+    "global_importance_rank",
+    f"WITH {FEATURE_SQL}, {_IMPORTANCE}, w AS (SELECT feature, "
+    + ", ".join(f"max(CASE WHEN model = '{m}' THEN importance END) AS {m}" for m in _RULES)
+    + " FROM imp GROUP BY feature), z AS (SELECT feature, a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d FROM w WHERE a IS NOT NULL) "
+    f"SELECT feature, a, b, c, d, {r('(a + b + c + d) / 4')} AS mean_importance, "
+    "CAST(row_number() OVER (ORDER BY (a + b + c + d) / 4 DESC, feature) AS INTEGER) AS overall_rank FROM z",
+)
+def global_importance_rank(spark, sf):
+    out = ex.importance_rank(importances(spark, sf), list(_RULES))
+    return out.withColumn("mean_importance", F.floor(F.col("mean_importance") * 1e6 + 0.5) / 1e6)
+
+
+@query("importance_normalize", f"WITH {FEATURE_SQL}, {_IMPORTANCE} SELECT model, feature, importance FROM imp")
+def importance_normalize(spark, sf):
+    """Both artifact shapes: a map per model, and two parallel lists."""
+    parts = F.sort_array(F.collect_list(F.struct("feature", "importance")))  # one entry per feature
+    grouped = importances(spark, sf).groupBy("model").agg(parts.alias("p"))
+    as_map = F.to_json(F.map_from_entries("p"))
+    as_lists = F.to_json(F.struct(F.col("p.feature").alias("features"), F.col("p.importance").alias("importance")))
+    files = grouped.select("model", F.when(F.col("model").isin("a", "c"), as_map).otherwise(as_lists).alias("json"))
+    return ex.normalize_importance(files)
+
+
+@query(
+    "explained_rows",
+    f"WITH {FEATURE_SQL} SELECT * FROM (SELECT Symbol, Date, 'first' AS how FROM feat ORDER BY Date, Symbol LIMIT 100) "
+    "UNION ALL SELECT * FROM (SELECT Symbol, Date, 'hash' AS how FROM feat "
+    "ORDER BY md5(concat_ws('|', Symbol, CAST(Date AS VARCHAR), '42')), Symbol, Date LIMIT 100)",
+)
+def explained_rows(spark, sf):
+    """The sample an explanation starts from: first rows in time order, then n by hash."""
+    rows = stored(features(spark, sf).select("Symbol", "Date", "Close"), "features")
+    return first_rows(rows, 100).select("Symbol", "Date", F.lit("first").alias("how")).unionByName(
+        seeded_sample(rows, ("Symbol", "Date"), 100).select("Symbol", "Date", F.lit("hash").alias("how"))
+    )
