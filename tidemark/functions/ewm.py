@@ -11,6 +11,7 @@ contribute is the end value of the stride just before, decayed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,12 +34,28 @@ def memory_rows(alpha: float) -> int:
     return math.ceil(53 * math.log(2) / -math.log1p(-alpha))
 
 
+def choose_strides(alphas: Iterable[float]) -> dict[float, int]:
+    """A stride per smoothing factor, shared as long as it fits.
+
+    A stride must be short enough not to overflow the fastest mean and long
+    enough to outlast the memory of the slowest; spans up to about sixteen times
+    apart fit one.
+    """
+    out: dict[float, int] = {}
+    current = None
+    for a in sorted(set(alphas), reverse=True):
+        if current is None or memory_rows(a) > current:
+            current = safe_stride(a)
+        out[a] = current
+    return out
+
+
 def ewm_total(source: str, alpha: float, lead: int, series) -> dict[str, Column]:
     """Local mean within one stride, seeded at row ``lead``, the first with a value."""
     q, x = F.lit(1.0 - alpha), F.col(source)
-    inside = F.col(series.INSIDE)
+    inside = F.col(series.inside(alpha))
     weight = F.when(F.col(series.ROW) == lead, F.lit(1.0)).otherwise(alpha)
-    total = F.sum(weight * x * F.pow(q, -inside)).over(series.running_stride)
+    total = F.sum(weight * x * F.pow(q, -inside)).over(series.running_stride(alpha))
     return {_part(source, alpha): F.pow(q, inside) * total}
 
 
@@ -50,8 +67,9 @@ def ewm_value(
     The source has no NULL after row ``lead``: rows with missing prices are
     dropped before any indicator runs.
     """
-    part, inside, row = F.col(_part(source, alpha)), F.col(series.INSIDE), F.col(series.ROW)
-    ends = F.last(F.when(inside == series.stride - 1, part), ignorenulls=True).over(series.before)
+    part, row = F.col(_part(source, alpha)), F.col(series.ROW)
+    inside, stride = F.col(series.inside(alpha)), series.strides[alpha]
+    ends = F.last(F.when(inside == stride - 1, part), ignorenulls=True).over(series.before)
     decayed = F.pow(F.lit(1.0 - alpha), inside + 1) * F.coalesce(ends, F.lit(0.0))
     return {name: F.when(row - lead + 1 >= min_periods, part + decayed)}
 

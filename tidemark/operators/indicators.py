@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ewm import alpha_for_span, ewm_total, ewm_value, memory_rows, safe_stride
+from tidemark.functions.ewm import alpha_for_span, choose_strides, ewm_total, ewm_value, memory_rows
 from tidemark.functions.numeric import ratio
 from tidemark.operators.series import Series, add_block_offsets, lay_out, row_number, stride_columns
 
@@ -43,15 +43,14 @@ def add_indicators(
     chosen = list(indicators)
     if not chosen:
         return df
-    alphas = [a for i in chosen for a in i.alphas]
-    stride = min(map(safe_stride, alphas)) if alphas else None
+    strides = choose_strides(a for i in chosen for a in i.alphas)
     reach = max(i.lookback for i in chosen)
-    series = lay_out(df, key, ts, lookback=reach, stride=stride, **layout)
+    series = lay_out(df, key, ts, lookback=reach, strides=strides, **layout)
     stages: Stages = {n: {} for n in range(VALUE_2 + 1)}
     for i in chosen:
         for n, columns in i.stages(series).items():
             stages[n].update(columns)
-    if stride:
+    if strides:
         stages[BASE][Series.ROW] = row_number(series)
         stages[DERIVED].update(stride_columns(series))
     out = series.df

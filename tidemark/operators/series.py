@@ -14,7 +14,7 @@ spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,13 +31,12 @@ class Series:
     keys: tuple[str, ...]
     base: WindowSpec
     window: WindowSpec
-    stride: int | None = None
-    stride_window: WindowSpec | None = None
+    parts: tuple[str, ...]
+    order: str
+    strides: dict[float, int] = field(default_factory=dict)
     blocked: bool = False
 
     ROW = "__row"
-    STRIDE = "__stride"
-    INSIDE = "__inside"
     BLOCK = "__block"
     OWN = "__own"
     POS = "__pos"
@@ -47,9 +46,14 @@ class Series:
     def running(self) -> WindowSpec:
         return self.window.rowsBetween(Window.unboundedPreceding, 0)
 
-    @property
-    def running_stride(self) -> WindowSpec:
-        return self.stride_window.rowsBetween(Window.unboundedPreceding, 0)
+    def inside(self, alpha: float) -> str:
+        """Column with the 0-based row within the stride used for ``alpha``."""
+        return f"__inside_{self.strides[alpha]}"
+
+    def running_stride(self, alpha: float) -> WindowSpec:
+        stride = f"__stride_{self.strides[alpha]}"
+        spec = Window.partitionBy(*self.parts, stride).orderBy(self.order)
+        return spec.rowsBetween(Window.unboundedPreceding, 0)
 
     @property
     def before(self) -> WindowSpec:
@@ -103,12 +107,12 @@ def lay_out(
     ts: str = "Date",
     lookback: int = 0,
     lookahead: int = 0,
-    stride: int | None = None,
+    strides: dict[float, int] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> Series:
     """Prepare ``df`` for window functions that reach ``lookback`` rows back and
-    ``lookahead`` rows ahead.  ``stride`` asks for the sub-ranges the
-    exponentially weighted mean needs."""
+    ``lookahead`` rows ahead.  ``strides`` are the sub-ranges the exponentially
+    weighted means need, by smoothing factor."""
     keys = series_keys(df, key)
     blocked = not is_calendar_bound(df, ts)
     parts, order = list(keys), ts
@@ -122,19 +126,12 @@ def lay_out(
         )
         parts, order = [*keys, Series.BLOCK], Series.POS
     window = Window.partitionBy(*parts).orderBy(order)
-    if stride is None:
-        return Series(df, keys, window, window, blocked=blocked)
-    # Ordering by (stride, order) equals ordering by order; spelled this way both
-    # specs ask for the same sort, so the planner sorts once for all of them.
-    return Series(
-        df,
-        keys,
-        window,
-        Window.partitionBy(*parts).orderBy(Series.STRIDE, order),
-        stride,
-        Window.partitionBy(*parts, Series.STRIDE).orderBy(order),
-        blocked,
-    )
+    if not strides:
+        return Series(df, keys, window, window, tuple(parts), order, blocked=blocked)
+    # Ordering by (stride, order) equals ordering by order; spelled this way the
+    # series and its strides ask for the same sort, so the planner sorts once.
+    by_stride = Window.partitionBy(*parts).orderBy(f"__stride_{min(strides.values())}", order)
+    return Series(df, keys, window, by_stride, tuple(parts), order, strides, blocked)
 
 
 def row_number(series: Series) -> Column:
@@ -144,10 +141,11 @@ def row_number(series: Series) -> Column:
 
 def stride_columns(series: Series) -> dict[str, Column]:
     row = F.col(Series.ROW)
-    return {
-        Series.STRIDE: F.floor(row / series.stride),
-        Series.INSIDE: F.pmod(row, F.lit(series.stride)),
-    }
+    out = {}
+    for n in sorted(set(series.strides.values())):
+        out[f"__stride_{n}"] = F.floor(row / n)
+        out[f"__inside_{n}"] = F.pmod(row, F.lit(n))
+    return out
 
 
 def add_block_offsets(df: DataFrame, series: Series, columns: list[str]) -> DataFrame:
