@@ -11,7 +11,7 @@ from tidemark.operators import records as rec
 from tidemark.operators import texteval as te
 from tidemark.operators.targets import label_name
 from tidemark.sources.sinks import read_messages, write_jsonl
-from tidemark.sources.storage import fresh_path
+from tidemark.sources.storage import fresh_path, stored
 
 # Attributions that need no model: how far an indicator is from its neutral value.
 NEUTRAL = {"price_vs_sma20": 0.0, "rsi_14": 50.0, "bb_pct_b": 0.5, "volume_ratio": 1.0, "return_5d": 0.0}
@@ -69,7 +69,8 @@ def model_outputs(spark, sf):
 
 
 def records(spark, sf, limit=LIMIT):
-    rows = features(spark, sf).withColumn("top_features", rec.top_features(attributions(), 5))
+    # Stored first: numbering the rows reads them twice.
+    rows = stored(features(spark, sf), "features").withColumn("top_features", rec.top_features(attributions(), 5))
     return rec.instruction_records(rows, model_outputs(spark, sf), SHOWN, limit)
 
 

@@ -1,81 +1,160 @@
 """Exact quantiles without sorting or hoarding a whole column.
 
 The built-in ``percentile`` keeps every distinct value of a column in one buffer.
-Here a sketch brackets each wanted rank, exact counts confirm the bracket, and
-only the values inside it are ranked.  A bracket that still holds too many rows
-is narrowed by sketching again inside it, so the ranked remainder stays small
-however large the table is, and the result is exact.
+Here a sketch brackets each wanted rank; one more pass counts the rows between
+the brackets and ranks only the values inside them.  Where the brackets would
+still hold too many rows, they are sketched again from the inside first.  Two
+passes do for billions of rows, and the result is exact: a rank that fell outside
+its bracket would come back empty and is then looked up without one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-MAX_RANKED = 1_000_000  # rows ranked in the end, over all wanted quantiles
+ACCURACY = 5_000
+MAX_RANKED = 2_000_000  # rows ranked in the end, over all wanted quantiles
 
 
 @dataclass(frozen=True)
 class _Want:
-    """One quantile of one column and the bracket known to contain it."""
+    """One quantile of one column and the bracket believed to contain it."""
 
     column: str
     p: float
-    rank: float  # fractional 0-based rank
-    lo: float
-    hi: float
+    n: int = 0
+    lo: float = -math.inf
+    hi: float = math.inf
     below: int = 0
     inside: int = 0
 
+    @property
+    def rank(self) -> float:
+        return self.p * (self.n - 1)
+
     def within(self) -> Column:
         x = F.col(self.column)
         return (x >= self.lo) & (x <= self.hi)
 
 
-def _sketch(df: DataFrame, wants: list[_Want]) -> list[_Want]:
-    """Tighten every bracket around its rank, judged from the rows inside it.
+def _slack(inside: int) -> float:
+    return 2.0 / ACCURACY + 2.0 / max(1, inside)
 
-    Wants that still share a bracket share one sketch.
-    """
-    shared: dict[tuple, list[_Want]] = {}
-    for w in wants:
-        shared.setdefault((w.column, w.lo, w.hi, w.below, w.inside), []).append(w)
-    aggs = []
-    for i, group in enumerate(shared.values()):
-        points = []
-        for w in group:
-            at = (w.rank - w.below) / max(1, w.inside - 1)
-            slack = 2.0 / ACCURACY + 1.0 / max(1, w.inside)
-            points += [max(0.0, at - slack), min(1.0, at + slack)]
-        x = F.when(group[0].within(), F.col(group[0].column))
-        aggs.append(F.percentile_approx(x, points, ACCURACY).alias(str(i)))
+
+def _sketched(source: Column, at: list[float], slack: float) -> Column:
+    points = [p for x in at for p in (max(0.0, x - slack), min(1.0, x + slack))]
+    return F.percentile_approx(source, points, ACCURACY)
+
+
+def _first_brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> list[_Want]:
+    aggs = [
+        F.struct(F.count(c).alias("n"), _sketched(F.col(c), list(probs), 3.0 / ACCURACY).alias("at")).alias(c)
+        for c in columns
+    ]
     row = df.agg(*aggs).head()
-    tight = {
-        w: replace(w, lo=row[i][2 * j], hi=row[i][2 * j + 1])
-        for i, group in enumerate(shared.values())
-        for j, w in enumerate(group)
-    }
-    return [tight[w] for w in wants]
+    wants = []
+    for c in columns:
+        n, at = row[c]
+        for j, p in enumerate(probs if n else ()):
+            # A sketch of few rows is as good as exact, but its ends are ranks, not slack.
+            lo, hi = (-math.inf, math.inf) if n < ACCURACY else (at[2 * j], at[2 * j + 1])
+            wants.append(_Want(c, p, n, lo, hi))
+    return wants
 
 
-def _count(df: DataFrame, wants: list[_Want]) -> list[_Want]:
+def _narrowed(df: DataFrame, wants: list[_Want]) -> list[_Want]:
+    """Sketch again inside each bracket; a miss keeps the former bounds."""
     aggs = []
     for i, w in enumerate(wants):
-        aggs += [
-            F.count_if(F.col(w.column) < w.lo).alias(f"b{i}"),
-            F.count_if(w.within()).alias(f"i{i}"),
-        ]
+        at = (w.rank - w.below) / max(1, w.inside - 1)
+        aggs.append(_sketched(F.when(w.within(), F.col(w.column)), [at], _slack(w.inside)).alias(str(i)))
     row = df.agg(*aggs).head()
-    return [replace(w, below=row[f"b{i}"], inside=row[f"i{i}"]) for i, w in enumerate(wants)]
+    tight = _counted(df, [replace(w, lo=row[i][0], hi=row[i][1]) for i, w in enumerate(wants)])
+    covers = lambda w: w.below <= math.floor(w.rank) and w.below + w.inside > math.ceil(w.rank)
+    return [t if covers(t) else w for t, w in zip(tight, wants)]
+
+
+def _steps(wants: list[_Want], column: str) -> list[tuple[float, bool]]:
+    """Bracket ends of a column in order: (value, reached only beyond it)."""
+    return sorted({e for w in wants if w.column == column for e in ((w.lo, False), (w.hi, True))})
+
+
+def _cells(df: DataFrame, wants: list[_Want], with_values: bool) -> DataFrame:
+    """(i, zone, v, n): rows per column and zone, and per value inside brackets.
 
+    A zone is the number of bracket ends at or below a value, so zones are in
+    value order and each lies wholly inside or outside every bracket.  Looking up
+    the zone of a whole Arrow column at once beats a few hundred comparisons per
+    row in one generated method too long to be compiled.
+    """
+    columns = list(dict.fromkeys(w.column for w in wants))
+    lows = [np.sort([w.lo for w in wants if w.column == c]) for c in columns]
+    highs = [np.sort([w.hi for w in wants if w.column == c]) for c in columns]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, col in enumerate(batch.columns):
+                x = col.drop_null().to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                opened = np.searchsorted(lows[i], x, side="right")
+                closed = np.searchsorted(highs[i], x, side="left")
+                zone = opened + closed
+                inside = (opened > closed) if with_values else np.zeros(len(x), bool)
+                values, at, times = np.unique(x[inside], return_index=True, return_counts=True)
+                out += zip([i] * len(values), zone[inside][at].tolist(), values.tolist(), times.tolist())
+                zones, times = np.unique(zone[~inside], return_counts=True)
+                out += zip([i] * len(zones), zones.tolist(), [None] * len(zones), times.tolist())
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(("i", "zone", "v", "n"), r)) for r in out],
+                pa.schema([("i", pa.int32()), ("zone", pa.int32()), ("v", pa.float64()), ("n", pa.int64())]),
+            )
+
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    cells = rows.mapInArrow(count, "i int, zone int, v double, n long")
+    return cells.groupBy("i", "zone", "v").agg(F.sum("n").alias("n"))
+
+
+def _counted(df: DataFrame, wants: list[_Want]) -> list[_Want]:
+    columns = list(dict.fromkeys(w.column for w in wants))
+    counts = {(r["i"], r["zone"]): r["n"] for r in _cells(df, wants, False).collect()}  # few zones per column
+    out = []
+    for w in wants:
+        i, steps = columns.index(w.column), _steps(wants, w.column)
+        first, last = steps.index((w.lo, False)) + 1, steps.index((w.hi, True))
+        total = lambda zones: sum(n for (j, z), n in counts.items() if j == i and z in zones)
+        out.append(replace(w, below=total(range(first)), inside=total(range(first, last + 1))))
+    return out
 
-def _covers(w: _Want) -> bool:
-    return w.below <= math.floor(w.rank) and w.below + w.inside > math.ceil(w.rank)
+
+def _ranked(df: DataFrame, wants: list[_Want]) -> dict[tuple[str, float], float | None]:
+    spark = df.sparkSession
+    columns = list(dict.fromkeys(w.column for w in wants))
+    cells = _cells(df, wants, True)
+    order = Window.partitionBy("i").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
+    at = cells.withColumn("upto", F.sum("n").over(order))
+    ranks = spark.createDataFrame(
+        [(columns.index(w.column), j, k) for j, w in enumerate(wants) for k in {math.floor(w.rank), math.ceil(w.rank)}],
+        "i int, want int, k long",
+    )
+    # Two rows per wanted quantile: sized by the arguments, not by the data.
+    hit = (F.col("upto") - F.col("n") <= F.col("k")) & (F.col("k") < F.col("upto"))
+    found = {
+        (r["want"], r["k"]): r["v"]
+        for r in at.join(F.broadcast(ranks), "i").where(hit).select("want", "k", "v").collect()
+    }
+    out = {}
+    for j, w in enumerate(wants):
+        a, b = found.get((j, math.floor(w.rank))), found.get((j, math.ceil(w.rank)))
+        out[w.column, w.p] = None if a is None or b is None else a + (b - a) * (w.rank % 1.0)
+    return out
 
 
 def exact_quantiles(
@@ -83,47 +162,21 @@ def exact_quantiles(
 ) -> DataFrame:
     """``(feature, p, value)`` with linear interpolation between ranks.
 
-    ``df`` is read a handful of times: hand in a stored table, not a long plan.
+    ``df`` is read a few times: hand in a stored table, not a long plan.
     """
-    spark = df.sparkSession
     df = df.select(*columns)
-    edges = df.agg(*[F.struct(F.count(c), F.min(c), F.max(c)).alias(c) for c in columns]).head()
-    wants = []
-    for c in columns:
-        n, lo, hi = edges[c]
-        if n:
-            wants += [_Want(c, p, p * (n - 1), lo, hi, 0, n) for p in probs]
-    schema = "feature string, p double, value double"
-    if not wants:
-        return spark.createDataFrame([], schema)
-    while sum(w.inside for w in wants if w.lo < w.hi) > max_ranked:
-        tighter = _count(df, _sketch(df, wants))
-        # A bracket that missed its rank keeps its former bounds.
-        kept = [t if _covers(t) else w for t, w in zip(tighter, wants)]
-        if all(k.inside == w.inside for k, w in zip(kept, wants)):
-            break
-        wants = kept
-    picked = [
-        F.when(w.within(), F.struct(F.lit(i).alias("i"), F.col(w.column).cast("double").alias("v")))
-        for i, w in enumerate(wants)
-    ]
-    values = (
-        df.select(F.explode(F.array_compact(F.array(*picked))).alias("at"))
-        .groupBy("at.i", "at.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = spark.createDataFrame(
-        [
-            (i, w.column, float(w.p), math.floor(w.rank) - w.below, math.ceil(w.rank) - w.below, w.rank % 1.0)
-            for i, w in enumerate(wants)
-        ],
-        "i int, feature string, p double, k0 long, k1 long, frac double",
-    )
-    # One row per wanted quantile: its size is set by the arguments, not the data.
-    at = values.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(ranks), "i")
-    v0 = F.min(F.when(F.col("upto") > F.col("k0"), F.col("v")))
-    v1 = F.min(F.when(F.col("upto") > F.col("k1"), F.col("v")))
-    return at.groupBy("feature", "p", "frac").agg(v0.alias("v0"), v1.alias("v1")).select(
-        "feature", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value")
-    )
+    wants = _first_brackets(df, columns, probs)
+    expected = sum(w.n if math.isinf(w.lo) else 2 * 4.0 / ACCURACY * w.n for w in wants)
+    if expected > max_ranked:
+        wants = _counted(df, wants)
+        while sum(w.inside for w in wants if w.lo < w.hi) > max_ranked:
+            tighter = _narrowed(df, wants)
+            if all(t.inside == w.inside for t, w in zip(tighter, wants)):
+                break  # what is left inside are copies of few values
+            wants = tighter
+    values = _ranked(df, wants) if wants else {}
+    missed = [w for w in wants if values[w.column, w.p] is None]
+    if missed:
+        values |= _ranked(df, [replace(w, lo=-math.inf, hi=math.inf) for w in missed])
+    rows = [(c, float(p), v) for (c, p), v in values.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, p double, value double")
