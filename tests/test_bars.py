@@ -132,3 +132,28 @@ def test_prepare_bars(spark):
     assert sinks.read_split(spark, done["splits"], "validation").count() == 184
     with pytest.raises(FileNotFoundError):
         sinks.read_split(spark, done["splits"], "holdout")
+
+
+def test_hot_symbol_and_hot_date(spark):
+    """A third of all raw rows are copies of one bar, another third one symbol."""
+    hot = spark.range(20_000).select(
+        F.lit("HOT").alias("Symbol"), F.lit("2020-01-01").alias("Date"), F.col("id").cast("double").alias("Close"), F.col("id").alias("ingest_seq")
+    )
+    long = spark.range(20_000).select(
+        F.lit("LONG").alias("Symbol"), F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") % 5000).cast("int")).cast("string").alias("Date"),
+        F.col("id").cast("double").alias("Close"), F.col("id").alias("ingest_seq"),
+    )
+    rest = spark.range(20_000).select(
+        (F.col("id") % 1000).cast("string").alias("Symbol"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 1000).cast("int")).cast("string").alias("Date"),
+        F.col("id").cast("double").alias("Close"), F.col("id").alias("ingest_seq"),
+    )
+    raw = hot.union(long).union(rest)
+    for c in ("Open", "High", "Low", "Volume"):
+        raw = raw.withColumn(c, F.col("Close"))
+    done = {r["Symbol"]: r for r in cl.clean_metrics(raw).collect()}
+    assert (done["HOT"]["raw_rows"], done["HOT"]["cleaned_rows"]) == (20_000, 1)
+    assert (done["LONG"]["cleaned_rows"], done["LONG"]["duplicates_removed"]) == (5000, 15_000)
+    assert sum(r["cleaned_rows"] for r in done.values()) == 25_001
+    cleaned = cl.clean(raw)
+    assert cleaned.where("Symbol = 'HOT'").head()["Close"] == 19_999.0
+    assert cleaned.where("Symbol = 'LONG'").agg(F.min("Close")).head()[0] == 15_000.0

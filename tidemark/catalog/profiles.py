@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidemark import fixtures as fx
 from tidemark.catalog.base import BARS, FEATURE_SQL, FEATURES, PREDICTIONS, RAW, TABLE_SQL, query, r, rounded
-from tidemark.catalog.features import features, table
+from tidemark.catalog.features import CONFIG, features, table
+from tidemark.catalog.metrics import scores_sql
 from tidemark.operators import profile as pf
 from tidemark.operators.stats import seeded_sample, threshold_sweep
-from tidemark.sources.storage import stored
+from tidemark.plans.features import feature_metadata as plan_metadata
+from tidemark.sources.sinks import write_metadata
+from tidemark.sources.storage import fresh_path, stored
 
 _PROFILED = ["Symbol", "Date", "Open", "High", "Low", "Close", "Volume", "ingest_seq"]
 _TYPES = dict(Symbol="string", Date="date", ingest_seq="bigint")
@@ -70,7 +75,7 @@ def label_by_year(spark, sf):
     ),
 )
 def feature_summary(spark, sf):
-    from tidemark.catalog.features import CONFIG, add_indicators
+    from tidemark.operators.indicators import add_indicators
 
     full = add_indicators(fx.split_bars(spark, sf), CONFIG.indicators()).select(*FEATURES)
     return rounded(pf.feature_summary(stored(full, "features"), FEATURES), 3)
@@ -145,7 +150,7 @@ def volatility_regimes(spark, sf):
     f"{r('coalesce((latest_close / nullif(previous_close, 0) - 1) * 100, 0)')} AS change_pct FROM z",
 )
 def market_snapshot(spark, sf):
-    return rounded(pf.market_snapshot(fx.bars(spark, sf), 12))
+    return rounded(pf.market_snapshot(fx.bars(spark, sf), "1y"))
 
 
 _TAUS = (0.0025, 0.005, 0.0075, 0.01, 0.0125, 0.015, 0.02)
@@ -177,3 +182,31 @@ def sweep(spark, sf):
 )
 def sample(spark, sf):
     return seeded_sample(fx.bars(spark, sf).select("Symbol", "Date", "Close"), ("Symbol", "Date"), 500)
+
+
+@query(
+    "dataset_summary",
+    f"WITH {TABLE_SQL}{PREDICTIONS[len(BARS):]}, own AS (SELECT * FROM predictions WHERE model = 'reversal1'), "
+    f"{scores_sql('own', 'model')} SELECT (SELECT count(*) FROM ftable) AS total_rows, 41 AS total_columns, "
+    "(SELECT count(DISTINCT Symbol) FROM ftable) AS unique_tickers, (SELECT min(Date) FROM ftable) AS date_start, "
+    "(SELECT max(Date) FROM ftable) AS date_end, 28 AS feature_count, "
+    f"{r('accuracy')} AS model_accuracy, {r('balanced_accuracy')} AS balanced_accuracy, {r('macro_f1')} AS macro_f1 FROM scores",
+)
+def dataset_summary(spark, sf):
+    own = fx.predictions(spark, sf).where("model = 'reversal1'")
+    return rounded(pf.dataset_summary(table(spark, sf), FEATURES, own))
+
+
+@query(
+    "feature_metadata",
+    f"WITH {TABLE_SQL} SELECT '{CONFIG.digest()}' AS config_version_hash, 28 AS feature_count, "
+    f"'{', '.join(FEATURES)}' AS feature_names, count(*) AS n_rows, min(Date) AS start_date, max(Date) AS end_date FROM ftable",
+)
+def feature_metadata(spark, sf):
+    """Written as JSON metadata and read back."""
+    path = fresh_path(spark, "metadata")
+    write_metadata(plan_metadata(table(spark, sf), CONFIG), path)
+    back = spark.read.schema(
+        "config_version_hash string, feature_count int, feature_names array<string>, n_rows long, start_date date, end_date date"
+    ).json(path)
+    return back.withColumn("feature_names", F.concat_ws(", ", "feature_names"))

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.metrics import classifier_metrics
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources.storage import stored
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 METADATA = ("Symbol", "Ticker", "Date", "Open", "High", "Low", "Close", "Volume", "Adj Close")
@@ -251,11 +253,11 @@ def _bins(value: Column, lo: Column, hi: Column, bins: int) -> tuple[Column, Col
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFrame:
     """Counts per group and equal-width bin over that group's own range.
 
-    ``by`` has few groups (features, outcomes); their ranges join back as a table
-    of one row per group.
+    The ranges, one row per group, are stored before they join back: the planner
+    then knows their size and broadcasts them only if they are small.
     """
     seen = df.where(F.col(value).isNotNull())
-    ranges = seen.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    ranges = stored(seen.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "ranges")
     n, a, width = _bins(F.col(value), F.col("lo"), F.col("hi"), bins)
     placed = seen.join(ranges, list(by)).select(*by, n.cast("int").alias("bin"), a.alias("a"), width.alias("w"))
     return placed.groupBy(*by, "bin", "a", "w").agg(F.count(F.lit(1)).alias("n")).select(
@@ -302,8 +304,13 @@ def volatility_regimes(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def market_snapshot(df: DataFrame, months: int = 12, key: str = "Symbol", ts: str = "Date") -> DataFrame:
-    """Latest and previous close, change in percent, high and low of the last months."""
+# The lookback ranges on offer, in months.
+PERIODS = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "2y": 24, "5y": 60}
+
+
+def market_snapshot(df: DataFrame, period: str = "1y", key: str = "Symbol", ts: str = "Date") -> DataFrame:
+    """Latest and previous close, change in percent, high and low of the period."""
+    months = PERIODS[period]
     last = df.groupBy(key).agg(F.max(ts).alias("latest_date"))
     recent = df.join(last, key).where(F.col(ts) >= F.add_months("latest_date", -months))
     latest, prev = F.col("latest_close"), F.col("previous_close")
@@ -320,3 +327,22 @@ def market_snapshot(df: DataFrame, months: int = 12, key: str = "Symbol", ts: st
         .withColumn("previous_close", F.coalesce(prev, latest))
         .withColumn("change_pct", F.coalesce((F.try_divide(latest, prev) - 1.0) * 100.0, F.lit(0.0)))
     )
+
+
+def dataset_summary(df: DataFrame, features: Sequence[str], predictions: DataFrame | None = None) -> DataFrame:
+    """One row: rows, columns, symbols, dates, features, and scores of the predictions."""
+    one = F.lit(1).alias("one")
+    out = df.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.lit(len(df.columns)).alias("total_columns"),
+        F.count_distinct("Symbol").alias("unique_tickers"),
+        F.min("Date").alias("date_start"),
+        F.max("Date").alias("date_end"),
+        F.lit(len(features)).alias("feature_count"),
+    )
+    if predictions is None:
+        return out
+    scores = classifier_metrics(predictions, ()).select(
+        one, F.col("accuracy").alias("model_accuracy"), "balanced_accuracy", "macro_f1"
+    )
+    return out.select(one, "*").join(scores, "one").drop("one")
