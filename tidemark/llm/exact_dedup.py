@@ -31,7 +31,8 @@ def frequent_digests(keys: DataFrame, heavy: int, tracked: int) -> DataFrame:
     """At most ``heavy`` digests that may be frequent."""
     part = F.pmod(F.spark_partition_id(), F.lit(64))
     sketches = keys.groupBy(part.alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("s"))
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    # Grouped, so that partitions without a sketch add nothing.
+    merged = sketches.groupBy((F.col("part") < 0).alias("one")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
     return merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("top")).select("top.item")
 
 
