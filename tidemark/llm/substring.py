@@ -14,12 +14,11 @@ document is found locally.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,23 +38,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """64-bit hashes of words, remembered while they fit."""
+_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    def __init__(self, cached: int = 1 << 19):
-        self.known: dict[bytes, int] = {}
-        self.cached = cached
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.cached:
-            self.known.clear()
-        found = list(map(self.known.get, words))
-        if None in found:
-            h = xxhash.xxh64_intdigest
-            for w in {w for w, x in zip(words, found) if x is None}:
-                self.known[w] = h(w, 7)
-            found = list(map(self.known.__getitem__, words))
-        return np.array(found, np.uint64)
+def _block_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Hash of every word: a polynomial in its bytes, from running sums over the block."""
+    whole = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    blank = _IS_BLANK[whole]
+    turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, end = turn[0::2], turn[1::2]
+    total = np.cumsum((whole + np.uint64(1)) * _powers(_MULTIPLIER, len(whole)), dtype=np.uint64)
+    h = (total[end - 1] - total[start - 1]) * _powers(_INVERSE, len(whole))[start]
+    h = mixed(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(h, np.searchsorted(start, ends)[:-1])
+
+
+def word_hashes(texts: list[str | None], block: int = 1 << 20) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, in blocks of about ``block`` bytes."""
+    out, held, size = [], [], 0
+    for t in texts:
+        raw = t.encode() if t else b""
+        held.append(raw)
+        size += len(raw) + 1
+        if size >= block:
+            out.extend(_block_hashes(held))
+            held, size = [], 0
+    return out + _block_hashes(held) if held else out
 
 
 def prefix_hashes(words: list[np.ndarray], lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -75,10 +92,6 @@ def prefix_hashes(words: list[np.ndarray], lengths: tuple[int, ...]) -> tuple[li
     return found, doc[full]
 
 
-def _chunk_words(texts: list[str | None], memory: Words) -> list[np.ndarray]:
-    return [memory.hashes(t.encode().split()) if t else np.zeros(0, np.uint64) for t in texts]
-
-
 def _suffixes(words: list[np.ndarray], cell_level: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
     """(group, suffix hash, document index) of every window of the chunk."""
     (short, middle, suffix), doc = prefix_hashes(words, (*PREFIXES, WINDOW))
@@ -129,9 +142,9 @@ def prefix_levels(stored_chunks: DataFrame, groups: int) -> np.ndarray:
     """Which prefix length each cell of first words needs: a fixed number of counters."""
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, total = Words(), np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int64)
         for pdf in batches:
-            (short,), _ = prefix_hashes(_chunk_words(pdf["text"].tolist(), memory), PREFIXES[:1])
+            (short,), _ = prefix_hashes(word_hashes(pdf["text"].tolist()), PREFIXES[:1])
             total += np.bincount((short % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         yield pd.DataFrame({"cell": np.arange(CELLS), "n": total})
 
@@ -143,7 +156,7 @@ def prefix_levels(stored_chunks: DataFrame, groups: int) -> np.ndarray:
     return np.where(full, np.where(n > n.sum() // 64, 2, 1), 0)
 
 
-def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", chunk_bytes: int = 24 << 20) -> DataFrame:
+def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", chunk_bytes: int = 8 << 20, group_bytes: int = 16 << 20) -> DataFrame:
     """Per row: id, n_words, n_removed, kept (text of the words left) and removed spans.
 
     Removed is every word covered by a window of 13 words whose word sequence also
@@ -155,14 +168,13 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    groups = max(partitions(spark), chunks)
+    groups = max(partitions(spark), -(-size // group_bytes))
     table = store_chunks(df, text, id, chunks)
     levels = prefix_levels(table, groups)
 
     def hand_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = Words()
         for chunk, _, texts in _gathered(batches):
-            group, suffix, _ = _suffixes(_chunk_words(texts, memory), levels, groups)
+            group, suffix, _ = _suffixes(word_hashes(texts), levels, groups)
             order = np.lexsort([suffix, group])
             group, suffix = group[order], suffix[order]
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
@@ -194,7 +206,7 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
     def finish(key: tuple, rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", na_position="first", kind="stable")
         texts = rows["text"].tolist()
-        words = _chunk_words(texts, Words())
+        words = word_hashes(texts)
         group, suffix, doc = _suffixes(words, levels, groups)
         replies = {g: b for g, b in zip(bits["g"], bits["bits"])}
         order = np.lexsort([doc, suffix, group])
