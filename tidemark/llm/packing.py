@@ -24,7 +24,7 @@ from tidemark.sources.storage import stored
 
 CAPACITY = 2048
 GROUP_ITEMS = 50_000
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 # Fixed value: a token that is matched before anything else, so it keeps its neighbours apart.
 SEPARATOR = "<|endoftext|>"
 
@@ -59,47 +59,41 @@ class WordTokenizer:
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """Ids per word; many words share a text, held apart by a token of the vocabulary."""
-        out: list[list[int]] = []
-        for at in range(0, len(words), 20):
-            ids = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join(words[at : at + 20])], add_special_tokens=False)[0].ids)
-            out.extend(x.tolist() for x in np.split(ids, np.flatnonzero(ids == self.separator)))
-        return out
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of words; many share a text, held apart by a token of the vocabulary."""
+        texts = [SEPARATOR.join(words[at : at + 20]) for at in range(0, len(words), 20)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable((*e.ids, self.separator) for e in found), np.uint32)
+        ends = np.flatnonzero(ids == self.separator)
+        return np.diff(ends, prepend=-1) - 1, ids[ids != self.separator]
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.known) + len(words) > self.cached:
             self.clear()
-        texts = [w.decode() for w in words]
-        odd = {i for i, t in enumerate(texts) if "<|" in t}
-        together = iter(self._ids([t for i, t in enumerate(texts) if i not in odd]) if len(odd) < len(texts) else [])
-        ids = []
-        for i, t in enumerate(texts):
-            if i in odd:
-                ids.append(self.tokenizer.encode(t, add_special_tokens=False).ids)
-            else:
-                own = next(together)
-                ids.append(own[1:] if own and own[0] == self.separator else own)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        odd = [w for w in words if b"<|" in w]
+        plain = [w for w in words if b"<|" not in w] if odd else words
+        lengths, ids = self._ids([w.decode() for w in plain])
+        alone = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in odd]
+        lengths = np.concatenate([lengths, np.array([len(x) for x in alone], np.int64)])
         ends = np.cumsum(lengths)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.known.update(zip([*plain, *odd], range(len(self.known), len(self.known) + len(words))))
         self.starts = np.concatenate([self.starts, len(self.flat) + ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, ids, np.array([i for x in alone for i in x], np.uint32)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [vocabulary_words(t) if t else [] for t in texts]
         flat = list(itertools.chain.from_iterable(split))
         at = list(map(self.known.get, flat))
         if None in at:
-            fresh = list({w for w, i in zip(flat, at) if i is None})
+            missing = [k for k, i in enumerate(at) if i is None]
+            fresh = list({flat[k] for k in missing})
+            if len(self.known) + len(fresh) > self.cached:  # it starts over
+                fresh, missing = list(set(flat)), range(len(flat))
+                self.cached = max(self.cached, len(fresh))
             self.learn(fresh)
-            at = list(map(self.known.get, flat))
-            if None in at:  # it started over
-                rest = list({w for w, i in zip(flat, at) if i is None})
-                self.cached = max(self.cached, len(self.known) + len(rest))
-                self.learn(rest)
-                at = list(map(self.known.get, flat))
+            for k in missing:
+                at[k] = self.known[flat[k]]
         at = np.array(at, np.int64)
         n = self.lengths[at]
         ends = np.cumsum(n)
@@ -128,8 +122,8 @@ def token_pieces(
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = word_tokenizer(tokenizer)
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
                 rows = []
                 for key, ids in zip(part["id"].tolist(), encoder.encode(part["text"].tolist())):
                     ids = np.append(ids, np.uint32(0))
