@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED_SEGMENTS = 1 << 20
-BATCH = 2048
+CACHED_SEGMENTS = 1 << 18
+BATCH = 1024
 
 
 # No piece holds a mark after another character, so no piece crosses these segments.
