@@ -199,11 +199,12 @@ def table_cells(fps: DataFrame, tables: int, bits: int) -> DataFrame:
 def candidate_pairs(fps: DataFrame, tables: int, bits: int, far: int) -> DataFrame:
     """(a, b, bits) of documents that share a cell with its centre and are near enough.
 
-    A cell's centre is drawn by a hash that differs per table, so members of a large
-    group meet many others over the tables without listing its pairs.
+    A cell's centre is the member first in one order, the same for all tables: members
+    of a large group meet its first members again and again instead of new ones, so
+    their distinct pairs stay few, while cells without those give them other centres.
     """
     visited = table_cells(fps, tables, bits).repartition("cell")
-    drawn = F.min(F.struct(F.xxhash64("id", "cell").alias("h"), F.col("id").alias("centre")))
+    drawn = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("centre")))
     centres = visited.groupBy("cell").agg(drawn.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = visited.join(centres.select("cell", "c.centre"), "cell").where("id != centre")
     pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
