@@ -34,10 +34,19 @@ def dataset_profile(spark, sf):
 @query(
     "ticker_distribution",
     f"WITH {BARS} SELECT Symbol, count(*) AS observations, "
+    f"{r('count(*) * 100.0E0 / sum(count(*)) OVER ()')} AS percentage FROM bars GROUP BY Symbol",
+)
+def ticker_distribution(spark, sf):
+    return rounded(pf.ticker_distribution(fx.bars(spark, sf)))
+
+
+@query(
+    "ticker_top",
+    f"WITH {BARS} SELECT Symbol, count(*) AS observations, "
     f"{r('count(*) * 100.0E0 / sum(count(*)) OVER ()')} AS percentage FROM bars GROUP BY Symbol "
     "ORDER BY observations DESC, Symbol LIMIT 30",
 )
-def ticker_distribution(spark, sf):
+def ticker_top(spark, sf):
     return rounded(pf.ticker_distribution(fx.bars(spark, sf), top=30))
 
 
@@ -97,7 +106,7 @@ def feature_correlation(spark, sf):
     return rounded(pf.feature_correlation(kept, FEATURES))
 
 
-_HIST = FEATURES[:12]
+_HIST = FEATURES
 
 
 def _histogram_sql(source: str, by: str, bins: int) -> str:

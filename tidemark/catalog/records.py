@@ -68,7 +68,7 @@ def model_outputs(spark, sf):
     )
 
 
-def records(spark, sf, limit=LIMIT):
+def records(spark, sf, limit=None):
     # Stored first: numbering the rows reads them twice.
     rows = stored(features(spark, sf), "features").withColumn("top_features", rec.top_features(attributions(), 5))
     return rec.instruction_records(rows, model_outputs(spark, sf), SHOWN, limit)
@@ -93,8 +93,7 @@ pos AS (
 joined AS (
   SELECT pos.*, coalesce(CASE prediction WHEN 0 THEN 'SELL' WHEN 1 THEN 'HOLD' WHEN 2 THEN 'BUY' END, 'BUY') AS label,
          coalesce({_P.format(k=2)}, 0.7E0) AS pb, coalesce({_P.format(k=1)}, 0.2E0) AS ph, coalesce({_P.format(k=0)}, 0.1E0) AS ps
-  FROM pos LEFT JOIN (SELECT * FROM predictions WHERE model = 'reversal1') p ON pos.Symbol = p.Symbol AND pos.Date = p.Date
-  WHERE row_id < {LIMIT}),
+  FROM pos LEFT JOIN (SELECT * FROM predictions WHERE model = 'reversal1') p ON pos.Symbol = p.Symbol AND pos.Date = p.Date),
 named AS (
   SELECT *, [{', '.join(_quote(t) for t in rec.TASKS)}][CAST(row_id % 6 + 1 AS INTEGER)] AS task_type,
          CASE WHEN greatest(pb, ph, ps) > 0.6 THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM joined),
@@ -129,11 +128,17 @@ def instruction_records(spark, sf):
     )
 
 
-@query("instruction_counts", f"WITH {FEATURE_SQL} SELECT split, least(count(*), {LIMIT}) AS n_records FROM feat GROUP BY split")
+@query("instruction_counts", f"WITH {FEATURE_SQL} SELECT split, count(*) AS n_records FROM feat GROUP BY split")
 def instruction_counts(spark, sf):
     return rec.instruction_counts(records(spark, sf))
 
 
+@query("instruction_head", f"WITH {FEATURE_SQL} SELECT split, least(count(*), {LIMIT}) AS n_records FROM feat GROUP BY split")
+def instruction_head(spark, sf):
+    """The head limit per split as a feature of its own."""
+    return rec.instruction_counts(records(spark, sf, LIMIT))
+
+
 @query(
     "prompt_text",
     f"WITH {FEATURE_SQL}, x AS (SELECT split, Symbol, Date, {_TOP} AS a, {', '.join(SHOWN)} FROM feat) "

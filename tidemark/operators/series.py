@@ -15,6 +15,8 @@ spread over as many tasks as it has blocks.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -89,15 +91,19 @@ def number_rows(df: DataFrame, keys: tuple[str, ...], ts: str) -> DataFrame:
     day = F.to_date(F.col(ts))
     counts = df.groupBy(*keys, day.alias(Series.DAY)).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy(Series.DAY).rowsBetween(Window.unboundedPreceding, -1)
+    by = [*keys, Series.DAY]
     starts = counts.select(
-        *keys, Series.DAY, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start")
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)],
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"),
     )
+    # Null keys and null times are kept: they form a series or a day of their own.
+    rows = df.withColumn(Series.DAY, day)
+    same = reduce(and_, [rows[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)])
     in_day = Window.partitionBy(*keys, Series.DAY).orderBy(ts)
     return (
-        df.withColumn(Series.DAY, day)
-        .join(starts, [*keys, Series.DAY])
+        rows.join(starts, same)
         .withColumn(Series.POS, F.col("__start") + F.row_number().over(in_day) - 1)
-        .drop("__start", Series.DAY)
+        .drop("__start", Series.DAY, *[f"__k{i}" for i in range(len(by))])
     )
 
 
