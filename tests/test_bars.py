@@ -134,6 +134,17 @@ def test_prepare_bars(spark):
         sinks.read_split(spark, done["splits"], "holdout")
 
 
+def test_split_files_are_in_date_order(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 3).selectExpr(
+        "concat('S', id % 5) AS Symbol", "date_add(DATE'2024-01-01', CAST(id * 37 % 400 AS INT)) AS Date",
+        "if(id % 2 = 0, 'train', 'test') AS split",
+    )
+    assert sinks.write_splits(rows, str(tmp_path / "s")) == 400
+    for file in (tmp_path / "s").rglob("*.parquet"):
+        got = [(r["Symbol"], r["Date"]) for r in spark.read.parquet(str(file)).collect()]
+        assert got and got == sorted(got)
+
+
 def test_hot_symbol_and_hot_date(spark):
     """A third of all raw rows are copies of one bar, another third one symbol."""
     hot = spark.range(20_000).select(

@@ -113,6 +113,11 @@ def test_leakage_checks(spark, walk):
     planted = forward_returns(feats, (1,), names=("g",)).withColumn("sneaky_feature", F.col("Close") * (F.col("g") + 1))
     found = lk.verify_no_leakage(planted, [*cols, "sneaky_feature"], raise_on_error=False)
     assert not found["passed"] and "sneaky_feature" in found["issues"][0]
+    assert found["checked_rows_count"] == planted.count()
+    narrow = planted.withColumn("sneaky_feature", F.col("sneaky_feature").cast("decimal(24,12)"))
+    assert len(lk.verify_no_leakage(narrow, ["sneaky_feature"], raise_on_error=False)["issues"]) == 1
+    back = planted.withColumn("arrival", -F.unix_date("Date").cast("long"))
+    assert len(lk.verify_no_leakage(back, cols, order="arrival", raise_on_error=False)["issues"]) == 1
     assert checked_feature_table(daily(spark, walk)).count() == 99
 
 
@@ -185,7 +190,7 @@ def test_ratio_floor(spark):
 
 def test_registry():
     assert list_models() == ["xgboost", "lightgbm", "random_forest", "neural_baseline"]
-    with pytest.raises(KeyError, match="Available models"):
+    with pytest.raises(KeyError, match="known: "):
         get("nothing")
 
 
