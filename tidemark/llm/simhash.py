@@ -18,6 +18,7 @@ the exact Jaccard similarity of word shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,6 +147,7 @@ def simhash_classes(df: DataFrame, text: str = "text", id: str = "doc_id", k: in
 WORDS = 8  # 64-bit words of a wide fingerprint
 TABLES = 160
 TABLE_BITS = 24
+SAME_BIT = 0.85  # share of bits two texts agree in at a similarity of 0.8
 FAR_BITS = 112  # of 512; at a similarity of 0.8 about 77 differ, 112 lies over four deviations above
 
 
@@ -196,17 +198,33 @@ def table_cells(fps: DataFrame, tables: int, bits: int) -> DataFrame:
     return fps.mapInPandas(cells, f"cell long, id {fps.schema['id'].dataType.simpleString()}")
 
 
+def grid_size(documents: int, tables: int = TABLES, bits: int = TABLE_BITS) -> tuple[int, int]:
+    """(tables, bits) for so many documents: cells that unrelated ones rarely share.
+
+    A cell's bits follow the logarithm of the corpus, so a cell holds a quarter of an
+    unrelated document on average at any size; the tables grow with them, so that a
+    pair at the least similarity still shares as many cells as before.
+    """
+    wide = max(bits, math.ceil(math.log2(max(documents, 1))) + 2)
+    return math.ceil(tables / SAME_BIT ** (wide - bits)), wide
+
+
 def candidate_pairs(fps: DataFrame, tables: int, bits: int, far: int) -> DataFrame:
     """(a, b, bits) of documents that share a cell with its centre and are near enough.
 
-    A cell's centre is the member first in one order, the same for all tables: members
-    of a large group meet its first members again and again instead of new ones, so
-    their distinct pairs stay few, while cells without those give them other centres.
+    A cell's centre is the member that meets most others over all tables.  In a group
+    of near copies that is the text they derive from, in every cell it visits, so a
+    copy meets its origin even where copies are too far from each other, and members
+    of a large group meet the same few centres instead of new ones in every table.
     """
     visited = table_cells(fps, tables, bits).repartition("cell")
-    drawn = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("centre")))
-    centres = visited.groupBy("cell").agg(drawn.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = visited.join(centres.select("cell", "c.centre"), "cell").where("id != centre")
+    busy = visited.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(visited.join(busy, "cell"), "shared-cells")
+    by_id = shared.repartition("id")
+    crowd = by_id.groupBy("id").agg(F.sum("n").alias("crowd"))
+    first = F.max(F.struct("crowd", F.xxhash64("id").alias("h"), F.col("id").alias("centre")))
+    centres = by_id.join(crowd, "id").groupBy("cell").agg(first.alias("c")).select("cell", "c.centre")
+    met = shared.join(centres, "cell").where("id != centre")
     pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     one = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
     two = fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
@@ -244,11 +262,11 @@ def near_duplicates(
     ``k``-word shingles reaches ``similarity``; classes are the connected
     components.  Ids are the documents: null ids and texts without a word link to
     nothing, and rows that share an id are one document.  Candidates come from the
-    grid and are all verified exactly: first each document's nearest candidate,
+    grid (``tables`` and ``bits`` are its least size) and are all verified exactly: first each document's nearest candidate,
     ``rounds`` times, then whatever still lies between two classes.
     """
     fps = stored(wide_fingerprints(df, text, id).dropDuplicates(["id"]), "wide-fingerprints")
-    todo = stored(candidate_pairs(fps, tables, bits, far), "candidates")
+    todo = stored(candidate_pairs(fps, *grid_size(fps.count(), tables, bits), far), "candidates")
     ends = todo.select(F.col("a").alias("id")).unionByName(todo.select(F.col("b").alias("id"))).distinct()
     key = F.col(f"`{id}`")
     texts = df.select(key.alias("id"), F.col(f"`{text}`").alias("t")).join(ends, "id", "left_semi")
