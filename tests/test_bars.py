@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from conftest import daily, random_walk
@@ -40,6 +41,29 @@ def test_dedup_keeps_last(spark):
     assert {(r["Date"], r["Close"], r["n"]) for r in out.collect()} == {("2023-01-01", 1.0, 1), ("2023-01-02", 9.0, 2)}
 
 
+def test_dedup_hashes_and_keeps_whole_rows(spark):
+    df = bars(spark, ("2020-01-01", 1, 1, 1, 1, 1), ("2020-01-01", 2, 2, 2, 2, None))
+    df = df.withColumn("ingest_seq", F.when(F.col("Close") == 1, F.lit(7).cast("long"))).withColumn("note", F.lit("x"))
+    plan = cl.dedup_last(df.drop("note"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert cl.dedup_last(df).first()["Close"] == 1.0
+    with pytest.raises(ValueError, match="arrived last"):
+        cl.clean(df.drop("ingest_seq"))
+
+
+def test_scan_adds_arrival(spark, tmp_path):
+    for turn, close in enumerate((5.0, 6.0)):
+        rows = [(f"2020-01-0{d}", *[close] * 5) for d in (1, 2)]
+        day = bars(spark, *rows).drop("ingest_seq")
+        day.coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+        day.coalesce(1).write.mode("append").csv(f"{tmp_path}/c", header=True)
+        time.sleep(1.1 - turn)
+    for fmt in ("parquet", "csv"):
+        df = src.scan_bars(spark, f"{tmp_path}/{fmt[0]}", fmt, arrival="came", header=True)
+        got = cl.clean(df, order="came").collect()
+        assert [r["Close"] for r in got] == [6.0, 6.0]
+
+
 def test_fill_limit(spark):
     values = [1.0, None, None, None, None, 5.0, None, 7.0]
     rows = [(f"2023-01-0{i + 1}", v, v, v, v, None) for i, v in enumerate(values)]
@@ -168,3 +192,9 @@ def test_hot_symbol_and_hot_date(spark):
     cleaned = cl.clean(raw)
     assert cleaned.where("Symbol = 'HOT'").head()["Close"] == 19_999.0
     assert cleaned.where("Symbol = 'LONG'").agg(F.min("Close")).head()[0] == 15_000.0
+
+
+def test_validate_counts_nan_as_missing(spark):
+    df = bars(spark, ("2023-01-01", "nan", 2, 1, 1, 5), ("2023-01-02", 1, 2, 0, 1, 5))
+    out = validate(df).first()
+    assert out["missing_values_total"] == 1 and out["ohlc_violations"] == 0

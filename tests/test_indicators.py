@@ -153,3 +153,10 @@ def test_groups_can_be_switched_off(spark, walk):
     ]
     assert build_features(daily(spark, walk), config).count() == 101
     assert config.digest() != CONFIG.digest() and len(CONFIG.digest()) == 12
+
+
+@pytest.mark.parametrize("make", [ind.ema, ind.macd, ind.rsi, ind.atr])
+def test_exponential_means_refuse_gaps(spark, make):
+    df = daily(spark, random_walk(60)).withColumn("Close", F.when(F.dayofmonth("Date") != 9, F.col("Close")))
+    with pytest.raises(Exception, match="an exponential mean needs"):
+        add_indicators(df, [make()]).collect()

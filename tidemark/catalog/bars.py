@@ -309,9 +309,7 @@ def leakage_order(spark, sf):
 def run_metadata(spark, sf):
     raw = fx.raw_bars(spark, sf)
     cleaned = cl.clean(raw)
-    return bar_metadata(
-        raw, cleaned, validate(cleaned, RULES), cl.clean_metrics(raw), requested(spark, sf)
-    )
+    return bar_metadata(validate(cleaned, RULES), cl.clean_metrics(raw), requested(spark, sf))
 
 
 _CLASSED = """

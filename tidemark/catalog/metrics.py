@@ -156,7 +156,7 @@ def class_weights(spark, sf):
 
 
 _MODELS = ("reversal1", "reversal5", "always_hold")
-_B, _N = 50, 500
+_B, _N = 1_000, 10_000
 _BOOT = f"""WITH {PREDICTIONS},
 wide AS (
   SELECT Symbol, Date, max(actual) AS actual,

@@ -50,9 +50,20 @@ def choose_strides(alphas: Iterable[float]) -> dict[float, int]:
     return out
 
 
-def ewm_total(source: str, alpha: float, lead: int, series) -> dict[str, Column]:
-    """Local mean within one stride, seeded at row ``lead``, the first with a value."""
-    q, x = F.lit(1.0 - alpha), F.col(source)
+def _complete(source: str, prices: Iterable[str]) -> Column:
+    """``source``, or an error on a row without one of the prices it is made of."""
+    lacking = F.greatest(*[F.col(p).isNull() for p in prices], F.lit(False))
+    told = F.lit(f"an exponential mean needs {', '.join(prices)} in every row; drop or fill the others first")
+    return F.when(lacking, F.raise_error(told)).otherwise(F.col(source))
+
+
+def ewm_total(source: str, alpha: float, lead: int, series, prices: Iterable[str] = ()) -> dict[str, Column]:
+    """Local mean within one stride, seeded at row ``lead``, the first with a value.
+
+    A running sum would pass over a missing value without giving its weight to the
+    others, so a row that lacks one of ``prices`` is an error.
+    """
+    q, x = F.lit(1.0 - alpha), _complete(source, prices) if prices else F.col(source)
     inside = F.col(series.inside(alpha))
     weight = F.when(F.col(series.ROW) == lead, F.lit(1.0)).otherwise(alpha)
     total = F.sum(weight * x * F.pow(q, -inside)).over(series.running_stride(alpha))
@@ -64,8 +75,7 @@ def ewm_value(
 ) -> dict[str, Column]:
     """Finish the mean begun by ``ewm_total``; NULL before ``min_periods`` values.
 
-    The source has no NULL after row ``lead``: rows with missing prices are
-    dropped before any indicator runs.
+    The source has no NULL after row ``lead``: ``ewm_total`` raises on one.
     """
     part, row = F.col(_part(source, alpha)), F.col(series.ROW)
     inside, stride = F.col(series.inside(alpha)), series.strides[alpha]

@@ -115,7 +115,7 @@ def ema(span: int = 20, price: str = "Close") -> Indicator:
         (name,),
         _ewm_reach(a) + span,
         lambda s: {
-            TOTALS: ewm_total(price, a, 0, s),
+            TOTALS: ewm_total(price, a, 0, s, (price,)),
             RUNNING: ewm_value(name, price, a, span, 0, s),
         },
         (a,),
@@ -143,7 +143,7 @@ def macd(fast: int = 12, slow: int = 26, signal: int = 9, price: str = "Close")
 
     def stages(s: Series) -> Stages:
         return {
-            TOTALS: {**ewm_total(price, a_fast, 0, s), **ewm_total(price, a_slow, 0, s)},
+            TOTALS: {**ewm_total(price, a_fast, 0, s, (price,)), **ewm_total(price, a_slow, 0, s, (price,))},
             RUNNING: {
                 **ewm_value("__macd_fast", price, a_fast, fast, 0, s),
                 **ewm_value("__macd_slow", price, a_slow, slow, 0, s),
@@ -174,7 +174,7 @@ def rsi(n: int = 14, price: str = "Close") -> Indicator:
                 "__gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))),
                 "__loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0))),
             },
-            TOTALS: {**ewm_total("__gain", a, 1, s), **ewm_total("__loss", a, 1, s)},
+            TOTALS: {**ewm_total("__gain", a, 1, s, (price,)), **ewm_total("__loss", a, 1, s, (price,))},
             RUNNING: {
                 **ewm_value(f"__mean_gain_{n}", "__gain", a, n, 1, s),
                 **ewm_value(f"__mean_loss_{n}", "__loss", a, n, 1, s),
@@ -227,7 +227,7 @@ def atr(n: int = 14) -> Indicator:
         return {
             BASE: _prev(s, "Close"),
             DERIVED: {"__range": _true_range()},
-            TOTALS: ewm_total("__range", a, 0, s),
+            TOTALS: ewm_total("__range", a, 0, s, ("High", "Low", "Close")),
             RUNNING: ewm_value(name, "__range", a, n, 0, s),
             VALUE: {"atr_ratio": ratio(F.col(name), F.col("Close"))},
         }

@@ -206,19 +206,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", F.try_divide(total.cast("double"), kinds * F.col("n")))
 
 
-MAX_CLASSES = 1_000
-
-
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Attach the class weight to each row.
+    """Attach the class weight to each row that has a class.
 
-    The weights, one number per class, become literals: joining on the class
-    would send all rows to as many tasks as there are classes.
+    The weights are one row per class; the adaptive plan sends so small a side to
+    every task and deals out a large class if it cannot.
     """
-    rows = class_weights(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    if not rows:
-        return df.withColumn(name, F.lit(None).cast("double"))
-    table = F.create_map(*[F.lit(x) for r in rows for x in (r[label], r["weight"])])
-    return df.where(F.col(label).isNotNull()).withColumn(name, table[F.col(label)])
+    weights = class_weights(df, label).select(label, F.col("weight").alias(name))
+    return df.join(weights, label).select(*df.columns, name)

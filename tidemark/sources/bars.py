@@ -40,14 +40,24 @@ def scan_bars(
     fmt: str = "parquet",
     schema: str | T.StructType | None = None,
     symbol_from_file: bool = False,
+    arrival: str | None = None,
     **options,
 ) -> DataFrame:
-    """Landed bar files; the symbol may be the file name."""
+    """Landed bar files; the symbol may be the file name.
+
+    ``arrival`` names a column for the order of arrival: a file's time and path,
+    then the row's place in it.
+    """
     reader = spark.read.format(fmt).options(**options)
     df = (reader.schema(schema) if schema is not None else reader).load(path)
     if symbol_from_file:
         name = F.regexp_replace(F.col("_metadata.file_name"), r"(\.[A-Za-z]+)+$", "")
         df = df.withColumn("Symbol", name)
+    if arrival is not None:
+        place = [F.col("_metadata.row_index")]
+        if fmt != "parquet":  # rows of other formats are counted per block of a file
+            place = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")]
+        df = df.withColumn(arrival, F.struct("_metadata.file_modification_time", "_metadata.file_path", *place))
     return landed(df)
 
 
