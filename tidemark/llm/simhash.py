@@ -148,12 +148,11 @@ WORDS = 8  # 64-bit words of a wide fingerprint
 TABLES = 160
 TABLE_BITS = 24
 SAME_BIT = 0.85  # share of bits two texts agree in at a similarity of 0.8
-FAR_BITS = 112  # of 512; at a similarity of 0.8 about 77 differ, 112 lies over four deviations above
+SEEN_BITS = 2048  # of the bitmap that bounds how many shingles two texts share
 
 
-def _wide_bits(words: list[bytes]) -> np.ndarray:
-    """512 majority bits over the distinct word pairs."""
-    h = np.unique(shingle_hashes(words, 2))
+def _wide_bits(h: np.ndarray) -> np.ndarray:
+    """512 majority bits over distinct hashes."""
     out = np.zeros(64 * WORDS, bool)
     for w in range(WORDS):
         x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -162,21 +161,28 @@ def _wide_bits(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(df: DataFrame, text: str, id: str) -> DataFrame:
-    """(id, fp array<long>) of every row with a word."""
+def wide_fingerprints(df: DataFrame, text: str, id: str, k: int = 5) -> DataFrame:
+    """(id, fp array<long>, seen array<long>, n) of every row with a word.
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    All three come from the set of distinct ``k``-word shingles that is verified
+    later: the fingerprint, a bitmap of the hashes and their number.
+    """
+
+    @F.pandas_udf("fp array<long>, seen array<long>, n long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = []
+            rows = []
             for t in texts:
-                words = python_words(t)
-                out.append(np.packbits(_wide_bits(words), bitorder="little").view("<i8") if words else None)
-            yield pd.Series(out, dtype=object)
+                h = np.unique(shingle_hashes(python_words(t), k))
+                seen = np.zeros(SEEN_BITS, bool)
+                seen[(h % np.uint64(SEEN_BITS)).astype(np.int64)] = True
+                fp, seen = (np.packbits(x, bitorder="little").view("<i8") for x in (_wide_bits(h), seen))
+                rows.append((fp, seen, len(h)))
+            yield pd.DataFrame(rows, columns=["fp", "seen", "n"])
 
     key = F.col(f"`{id}`")
-    fps = df.where(key.isNotNull()).select(key.alias("id"), of(F.col(f"`{text}`").cast("string")).alias("fp"))
-    return fps.where("fp is not null")
+    fps = df.where(key.isNotNull()).select(key.alias("id"), of(F.col(f"`{text}`").cast("string")).alias("s"))
+    return fps.select("id", "s.*").where("n > 0")
 
 
 def table_cells(fps: DataFrame, tables: int, bits: int) -> DataFrame:
@@ -209,8 +215,23 @@ def grid_size(documents: int, tables: int = TABLES, bits: int = TABLE_BITS) -> t
     return math.ceil(tables / SAME_BIT ** (wide - bits)), wide
 
 
-def candidate_pairs(fps: DataFrame, tables: int, bits: int, far: int) -> DataFrame:
-    """(a, b, bits) of documents that share a cell with its centre and are near enough.
+def may_be_near(similarity: float) -> Column:
+    """Whether sets a and b can reach the similarity, from their sizes and bitmaps alone.
+
+    Every bit of one bitmap that the other lacks stands for a shingle the other text
+    does not have, so the bound never rejects a pair that reaches it.
+    """
+
+    def lacking(x: str, y: str) -> Column:
+        ones = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(ones, F.lit(0).cast("long"), lambda s, m: s + m)
+
+    most = F.least(F.col("na") - lacking("sa", "sb"), F.col("nb") - lacking("sb", "sa"))
+    return most >= similarity * (F.col("na") + F.col("nb") - most)
+
+
+def candidate_pairs(fps: DataFrame, tables: int, bits: int, similarity: float) -> DataFrame:
+    """(a, b, bits) of documents that share a cell with its centre and may be near.
 
     A cell's centre is the member that meets most others over all tables.  In a group
     of near copies that is the text they derive from, in every cell it visits, so a
@@ -226,12 +247,12 @@ def candidate_pairs(fps: DataFrame, tables: int, bits: int, far: int) -> DataFra
     centres = by_id.join(crowd, "id").groupBy("cell").agg(first.alias("c")).select("cell", "c.centre")
     met = shared.join(centres, "cell").where("id != centre")
     pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    one = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
-    two = fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+    one = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("seen").alias("sa"), F.col("n").alias("na"))
+    two = fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("seen").alias("sb"), F.col("n").alias("nb"))
     apart = F.aggregate(
         F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n
     )
-    return pairs.join(one, "a").join(two, "b").select("a", "b", apart.alias("bits")).where(F.col("bits") <= far)
+    return pairs.join(one, "a").join(two, "b").where(may_be_near(similarity)).select("a", "b", apart.alias("bits"))
 
 
 def _shingle_set(text: Column, k: int) -> Column:
@@ -253,7 +274,6 @@ def near_duplicates(
     similarity: float = 0.8,
     tables: int = TABLES,
     bits: int = TABLE_BITS,
-    far: int = FAR_BITS,
     rounds: int = 2,
 ) -> DataFrame:
     """(id, class_id) of every id that has a near duplicate; class_id is the smallest.
@@ -265,8 +285,8 @@ def near_duplicates(
     grid (``tables`` and ``bits`` are its least size) and are all verified exactly: first each document's nearest candidate,
     ``rounds`` times, then whatever still lies between two classes.
     """
-    fps = stored(wide_fingerprints(df, text, id).dropDuplicates(["id"]), "wide-fingerprints")
-    todo = stored(candidate_pairs(fps, *grid_size(fps.count(), tables, bits), far), "candidates")
+    fps = stored(wide_fingerprints(df, text, id, k).dropDuplicates(["id"]), "wide-fingerprints")
+    todo = stored(candidate_pairs(fps, *grid_size(fps.count(), tables, bits), similarity), "candidates")
     ends = todo.select(F.col("a").alias("id")).unionByName(todo.select(F.col("b").alias("id"))).distinct()
     key = F.col(f"`{id}`")
     texts = df.select(key.alias("id"), F.col(f"`{text}`").alias("t")).join(ends, "id", "left_semi")
