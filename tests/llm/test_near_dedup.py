@@ -2,13 +2,15 @@
 
 import random
 
-from tidemark.llm.simhash import near_duplicates
+import pytest
+
+from tidemark.llm import simhash
 
 DOCS = "doc_id long, text string"
 
 
 def classes(df):
-    return {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    return {r.doc_id: r.class_id for r in simhash.near_duplicates(df).collect()}
 
 
 def test_few_distinct_words(spark):
@@ -19,3 +21,32 @@ def test_few_distinct_words(spark):
     other = [str(rng.randrange(10)) for _ in range(10_000)]
     rows = [(1, " ".join(digits)), (2, " ".join(copy)), (3, " ".join(other))]
     assert classes(spark.createDataFrame(rows, DOCS)) == {1: 1, 2: 1}
+
+
+def templated(n: int, pairs: int):
+    """Pages of one template at pairwise Jaccard 0.7; the first ``pairs`` pairs of neighbours reach 0.8."""
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(420)]
+    pages = []
+    for i in range(n):
+        own = [f"p{i}w{j}" for j in range(92)]
+        if i < 2 * pairs and i % 2:
+            own[:37] = pages[-1][1][:37]
+        pages.append((i, own))
+    rows = [(i, " ".join(template + own)) for i, own in pages]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 16])
+def test_links_away_from_centres(crowded, spark, monkeypatch):
+    """A hot template: cells are full of pages that are no near copies of one another."""
+    import brute
+
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rows = templated(600, 40)
+    want = brute.near_classes([r for r in rows if r[0] < 80])
+    assert len(want) == 80
+    got = classes(spark.createDataFrame(rows, DOCS).repartition(8))
+    assert set(got.items()) <= set(want.items())
+    assert len(got) >= 0.9 * len(want)

@@ -13,7 +13,8 @@ link, and a dense group costs no more per row than a sparse one.
 
 ``near_duplicates`` serves similarities that 64 bits cannot tell apart: it takes a
 wide fingerprint, visits cells of sampled one-bit segments, and verifies links by
-the exact Jaccard similarity of word shingles.
+the exact Jaccard similarity of word shingles: first with a cell's centre, then
+between all members of a cell that are still in different classes.
 """
 
 from __future__ import annotations
@@ -149,6 +150,9 @@ TABLES = 160
 TABLE_BITS = 24
 SAME_BIT = 0.85  # share of bits two texts agree in at a similarity of 0.8
 SEEN_BITS = 2048  # of the bitmap that bounds how many shingles two texts share
+CROWDED = 1024  # members of a cell; larger ones are split
+SPLIT_BITS, SPLIT_TABLES = 8, 11  # three times the tables that the bits cost at SAME_BIT: a pair stays together in 97 %
+SPLITS = 16
 
 
 def _wide_bits(h: np.ndarray) -> np.ndarray:
@@ -230,7 +234,14 @@ def may_be_near(similarity: float) -> Column:
     return most >= similarity * (F.col("na") + F.col("nb") - most)
 
 
-def candidate_pairs(fps: DataFrame, tables: int, bits: int, similarity: float) -> DataFrame:
+def shared_cells(fps: DataFrame, tables: int, bits: int) -> DataFrame:
+    """(cell, id, n) of cells that n > 1 documents visit."""
+    visited = table_cells(fps, tables, bits).repartition("cell")
+    busy = visited.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(visited.join(busy, "cell"), "shared-cells")
+
+
+def candidate_pairs(shared: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
     """(a, b, bits) of documents that share a cell with its centre and may be near.
 
     A cell's centre is the member that meets most others over all tables.  In a group
@@ -238,9 +249,6 @@ def candidate_pairs(fps: DataFrame, tables: int, bits: int, similarity: float) -
     copy meets its origin even where copies are too far from each other, and members
     of a large group meet the same few centres instead of new ones in every table.
     """
-    visited = table_cells(fps, tables, bits).repartition("cell")
-    busy = visited.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(visited.join(busy, "cell"), "shared-cells")
     by_id = shared.repartition("id")
     crowd = by_id.groupBy("id").agg(F.sum("n").alias("crowd"))
     first = F.max(F.struct("crowd", F.xxhash64("id").alias("h"), F.col("id").alias("centre")))
@@ -255,6 +263,101 @@ def candidate_pairs(fps: DataFrame, tables: int, bits: int, similarity: float) -
     return pairs.join(one, "a").join(two, "b").where(may_be_near(similarity)).select("a", "b", apart.alias("bits"))
 
 
+def split_cells(members: DataFrame, fps: DataFrame, level: int) -> DataFrame:
+    """(cell, id, root): every cell dealt into cells of further sampled bits, ``SPLIT_TABLES`` times."""
+    rng = np.random.default_rng([SEED, level])
+    sampled = np.stack([rng.choice(64 * WORDS, SPLIT_BITS, replace=False) for _ in range(SPLIT_TABLES)])
+    weights = (1 << np.arange(SPLIT_BITS)).astype(np.uint64)
+    offset = np.arange(SPLIT_TABLES, dtype=np.uint64) << np.uint64(SPLIT_BITS)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 1000):
+                part = pdf.iloc[i : i + 1000]
+                raw = np.stack(part["fp"].to_numpy()).astype("<i8").view(np.uint8)
+                on = np.unpackbits(raw, axis=1, bitorder="little")
+                keys = np.stack([on[:, s].astype(np.uint64) @ weights for s in sampled], axis=1) + offset
+                x = (part["cell"].to_numpy().view(np.uint64)[:, None] ^ keys * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                own = {c: np.repeat(part[c].to_numpy(), SPLIT_TABLES) for c in ("id", "root")}
+                yield pd.DataFrame({"cell": (x ^ (x >> np.uint64(32))).ravel().view(np.int64), **own})
+
+    kind = fps.schema["id"].dataType.simpleString()
+    return members.join(fps.select("id", "fp"), "id").mapInPandas(cells, f"cell long, id {kind}, root {kind}")
+
+
+def _near_in_cell(pdf: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of members of different classes whose sizes and bitmaps let them be near."""
+    seen = np.stack(pdf["seen"].to_numpy()).view(np.uint64)
+    n, (root, _) = pdf["n"].to_numpy(), pd.factorize(pdf["root"])
+    one, two = [], []
+    step = max(1, CHUNK // len(pdf))
+    for i in range(0, len(pdf), step):
+        part, later = slice(i, i + step), slice(i + 1, None)
+        lack = np.bitwise_count(seen[part, None] & ~seen[None, later]).sum(2, dtype=np.int64)
+        lacked = np.bitwise_count(~seen[part, None] & seen[None, later]).sum(2, dtype=np.int64)
+        most = np.minimum(n[part, None] - lack, n[None, later] - lacked)
+        near = (most >= similarity * (n[part, None] + n[None, later] - most)) & (root[part, None] != root[None, later])
+        a, b = np.nonzero(near)
+        keep = a <= b  # every pair once
+        one.append(a[keep] + i)
+        two.append(b[keep] + i + 1)
+    return np.concatenate(one), np.concatenate(two)
+
+
+def near_in_cells(members: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of members (cell, id, root) of one cell and different classes that may be near."""
+    kind = fps.schema["id"].dataType.simpleString()
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, cells = pdf["id"].to_numpy(), pdf["cell"].to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
+        found = [np.empty((0, 2), ids.dtype)]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            a, b = _near_in_cell(pdf.iloc[lo:hi], similarity)
+            found.append(np.sort(np.stack([ids[lo + a], ids[lo + b]], axis=1), axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"]).drop_duplicates()
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # of the cell that may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cut = int(np.searchsorted(pdf["cell"].to_numpy(), pdf["cell"].iloc[-1]))
+            if cut or rest and rest[-1]["cell"].iloc[-1] != pdf["cell"].iloc[0]:
+                yield compare(pd.concat([*rest, pdf.iloc[:cut]]))
+                rest = []
+            rest.append(pdf.iloc[cut:])
+        if rest:
+            yield compare(pd.concat(rest))
+
+    dealt = members.join(fps.select("id", "seen", "n"), "id").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInPandas(pairs, f"a {kind}, b {kind}")
+
+
+def pairs_between_classes(shared: DataFrame, fps: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that share a cell, lie in different classes of ``found`` (b, a = its root) and may be near.
+
+    A cell of two needs nothing, its pair was compared.  A cell of more than
+    ``CROWDED`` members is split as long as it has several classes; one that
+    ``SPLITS`` rounds do not part is compared whole.
+    """
+    classes = found.select(F.col("b").alias("id"), F.col("a").alias("root"))
+    part = shared.where("n > 2").select("cell", "id").join(classes, "id", "left")
+    part = part.select("cell", "id", F.coalesce("root", "id").alias("root"))
+    out = None
+    for level in range(SPLITS + 1):
+        sizes = part.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        part = stored(part.join(sizes.where("lo != hi").select("cell", "m"), "cell"), "mixed-cells")
+        crowded = part.where(F.col("m") > CROWDED).select("cell", "id", "root")
+        last = level == SPLITS or not crowded.limit(1).count()
+        here = near_in_cells(part if last else part.where(F.col("m") <= CROWDED), fps, similarity)
+        out = here if out is None else out.unionByName(here)
+        if last:
+            return stored(out.distinct(), "candidates")
+        part = stored(split_cells(crowded, fps, level), "split-cells")
+
+
 def _shingle_set(text: Column, k: int) -> Column:
     """Distinct hashes of the k-word shingles; fewer words make one shingle."""
 
@@ -282,16 +385,32 @@ def near_duplicates(
     ``k``-word shingles reaches ``similarity``; classes are the connected
     components.  Ids are the documents: null ids and texts without a word link to
     nothing, and rows that share an id are one document.  Candidates come from the
-    grid (``tables`` and ``bits`` are its least size) and are all verified exactly: first each document's nearest candidate,
-    ``rounds`` times, then whatever still lies between two classes.
+    grid (``tables`` and ``bits`` are its least size) and are all verified exactly: first each document's nearest centre,
+    ``rounds`` times, then whatever centre still lies in another class, and at last all
+    pairs of a cell's members that do.
     """
     fps = stored(wide_fingerprints(df, text, id, k).dropDuplicates(["id"]), "wide-fingerprints")
-    todo = stored(candidate_pairs(fps, *grid_size(fps.count(), tables, bits), similarity), "candidates")
-    ends = todo.select(F.col("a").alias("id")).unionByName(todo.select(F.col("b").alias("id"))).distinct()
+    shared = shared_cells(fps, *grid_size(fps.count(), tables, bits))
+    todo = stored(candidate_pairs(shared, fps, similarity), "candidates")
     key = F.col(f"`{id}`")
-    texts = df.select(key.alias("id"), F.col(f"`{text}`").alias("t")).join(ends, "id", "left_semi")
-    sets = stored(texts.select("id", _shingle_set(F.col("t"), k).alias("s")).dropDuplicates(["id"]), "shingles")
-    found = None
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = df.select(key.alias("id"), F.col(f"`{text}`").alias("t")).join(ends, "id", "left_semi")
+        return stored(texts.select("id", _shingle_set(F.col("t"), k).alias("s")).dropDuplicates(["id"]), "shingles")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+        two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        near = common >= similarity * (F.size("sa") + F.size("sb") - common)
+        return stored(pairs.select("a", "b").join(one, "a").join(two, "b").where(near).select("a", "b"), "verified")
+
+    def merged(links: DataFrame) -> DataFrame:
+        classes = connected_components(links if found is None else found.unionByName(links))
+        return stored(classes.select(F.col("node").alias("b"), F.col("root").alias("a")), "classes")
+
+    found, sets = None, sets_of(todo)
     for turn in range(rounds + 1):
         pick = todo
         if turn < rounds:
@@ -300,14 +419,7 @@ def near_duplicates(
             )
             best = F.min(F.struct("bits", F.xxhash64("a", "b").alias("h"), "a", "b"))
             pick = sides.groupBy("n").agg(best.alias("best")).select("best.a", "best.b").distinct()
-        one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-        two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        near = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
-        verified = stored(pick.select("a", "b").join(one, "a").join(two, "b").where(near).select("a", "b"), "verified")
-        links = verified if found is None else found.unionByName(verified)
-        classes = connected_components(links)
-        found = stored(classes.select(F.col("node").alias("b"), F.col("root").alias("a")), "classes")
+        found = merged(verified(pick, sets))
         if turn < rounds:
             left = todo.join(pick.select("a", "b"), ["a", "b"], "left_anti")
             name = lambda side: found.select(F.col("b").alias(side), F.col("a").alias(f"r{side}"))
@@ -315,6 +427,8 @@ def near_duplicates(
             todo = stored(
                 left.join(name("a"), "a", "left").join(name("b"), "b", "left").where(apart).select("a", "b", "bits"), "candidates"
             )
+    apart = pairs_between_classes(shared, fps, found, similarity)
+    found = merged(verified(apart, sets_of(apart)))
     members = found.select(F.col("b").alias(id), F.col("a").alias("class_id"))
     return members.unionByName(members.select(F.col("class_id").alias(id), "class_id")).distinct()
 
