@@ -50,3 +50,25 @@ def test_links_away_from_centres(crowded, spark, monkeypatch):
     got = classes(spark.createDataFrame(rows, DOCS).repartition(8))
     assert set(got.items()) <= set(want.items())
     assert len(got) >= 0.9 * len(want)
+
+
+def test_null_and_shared_ids(spark):
+    """Every row is judged for itself, whatever its id."""
+    from tidemark.llm.quality import drop_rejected
+
+    text = lambda name, n=100: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name: text(name) + " end"
+    good = [
+        (None, text("aaaa")), (None, near("aaaa")), (7, text("bbbb")), (7, near("bbbb")), (7, text("cccc")),
+        (8, text("dddd")), (None, near("dddd")), (9, text("eeee")), (3, near("eeee")), (None, text("ffff")),
+        (5, text("gggg")), (5, text("gggg")),
+    ]
+    stay = simhash.drop_near_duplicates(spark.createDataFrame(good + [(None, ""), (None, "")], DOCS).repartition(3))
+    got = sorted((r.text.split(" ")[0], -1 if r.doc_id is None else r.doc_id) for r in stay.collect())
+    want = [("", -1), ("", -1), ("aaaa0", -1), ("bbbb0", 7), ("cccc0", 7), ("dddd0", 8), ("eeee0", 3), ("ffff0", -1), ("gggg0", 5)]
+    assert got == want
+
+    bad = [(None, "too short"), (7, "short too"), (8, None)]
+    df = spark.createDataFrame([(*r, "host") for r in good + bad], DOCS + ", source string").repartition(3)
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, drop_rejected(df).select("doc_id", "text").collect()), key=key) == sorted(good, key=key)

@@ -63,7 +63,9 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(words, of_words)
 
 
-def document_counts(df: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source") -> DataFrame:
+def document_counts(
+    df: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", digest: bool = False
+) -> DataFrame:
     """Counts per document: words, their code points, symbols, repeated lines and words."""
     t = F.col("text")
     base = df.select(
@@ -78,7 +80,8 @@ def document_counts(df: DataFrame, text: str = "text", id: str = "doc_id", host:
         F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-    ).select("id", "host", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
+        *[F.unhex(F.sha2(t, 256)).alias("digest")] * digest,
+    ).select(*["digest"] * digest, "id", "host", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
 
 
 def failures() -> dict[str, Column]:
@@ -126,6 +129,20 @@ def _strength(p: str, m: str, q: str) -> Column:
     return F.when(v > 1e-12, F.least(F.greatest(s, F.lit(1.0)), F.lit(1000.0))).otherwise(1000.0)
 
 
+def judged(df: DataFrame, text: str, id: str, host: str, host_rate: float, digest: bool = False) -> DataFrame:
+    """Per row: id, host, counts, base_failed and kept; ``digest`` adds the text's SHA-256."""
+    n = F.col("n_words")
+    counted = document_counts(df, text, id, host, digest)
+    counted = counted.withColumns({f"fails_{r}": c for r, c in failures().items()}).withColumn(
+        "base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
+    )
+    counted = stored(counted, "quality")
+    hosts = host_verdicts(counted, host_rate).withColumnRenamed("host", "__host")
+    joined = counted.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left")
+    struck = F.greatest(*[F.col(f"fails_{r}") & F.coalesce(F.col(f"strict_{r}"), F.lit(False)) for r in SOFT_RULES])
+    return joined.withColumn("kept", ~F.col("base_failed") & ~struck)
+
+
 def quality(
     df: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", host_rate: float = 0.5
 ) -> DataFrame:
@@ -136,31 +153,25 @@ def quality(
     not looked at.  The counts are written once, since the host rates and the
     verdict both read them.
     """
-    n = F.col("n_words")
-    counted = document_counts(df, text, id, host)
-    counted = counted.withColumns({f"fails_{r}": c for r, c in failures().items()}).withColumn(
-        "base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
-    )
-    counted = stored(counted, "quality")
-    hosts = host_verdicts(counted, host_rate).withColumnRenamed("host", "__host")
-    joined = counted.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left")
-    struck = F.greatest(*[F.col(f"fails_{r}") & F.coalesce(F.col(f"strict_{r}"), F.lit(False)) for r in SOFT_RULES])
-    return joined.select(
-        F.col("id").alias(id),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & ~struck).alias("kept"),
+    return judged(df, text, id, host, host_rate).select(
+        F.col("id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-def drop_rejected(df: DataFrame, text: str = "text", id: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``df`` whose id the rules keep, all columns.
+def drop_rejected(
+    df: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", host_rate: float = 0.5
+) -> DataFrame:
+    """The rows of ``df`` that the rules keep, all columns.
 
-    Rows that share an id share the strictest verdict: all of them must be kept.
+    The verdict follows from text and host, so rows are matched by both and by id
+    (which deals copies of one text out); rows that share an id, null or not, do not
+    share a verdict.
     """
-    rejected = quality(df, text, id, **kw).where(~F.col("kept")).select(F.col(id).alias("__id")).distinct()
-    return df.join(rejected, F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left_anti")
+    rejected = judged(df, text, id, host, host_rate, digest=True).where(~F.col("kept"))
+    rejected = rejected.select(F.col("id").alias("__id"), F.col("host").alias("__host"), F.col("digest").alias("__digest")).distinct()
+    same = (
+        F.col(f"`{id}`").eqNullSafe(F.col("__id"))
+        & F.col(f"`{host}`").cast("string").eqNullSafe(F.col("__host"))
+        & (F.unhex(F.sha2(whole(F.col(f"`{text}`")), 256)) == F.col("__digest"))
+    )
+    return df.join(rejected, same, "left_anti")

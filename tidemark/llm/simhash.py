@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, python_words, words_of
+from tidemark.llm.common import let, python_words, whole, words_of
 from tidemark.llm.components import connected_components
 from tidemark.sources.storage import stored
 
@@ -166,10 +166,13 @@ def _wide_bits(h: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(df: DataFrame, text: str, id: str, k: int = 5) -> DataFrame:
-    """(id, fp array<long>, seen array<long>, n) of every row with a word.
+    """(name, digest, rows, id, fp array<long>, seen array<long>, n) of every document with a word.
 
-    All three come from the set of distinct ``k``-word shingles that is verified
-    later: the fingerprint, a bitmap of the hashes and their number.
+    A document is an id (``name``) and a text; ``rows`` counts its rows.  The new
+    ``id`` is a number in order of name and digest, null names last, so the smallest
+    of a class stands for the smallest name.  The other columns come from the set of
+    distinct ``k``-word shingles that is verified later: the fingerprint, a bitmap
+    of the hashes and their number.
     """
 
     @F.pandas_udf("fp array<long>, seen array<long>, n long")
@@ -184,9 +187,20 @@ def wide_fingerprints(df: DataFrame, text: str, id: str, k: int = 5) -> DataFram
                 rows.append((fp, seen, len(h)))
             yield pd.DataFrame(rows, columns=["fp", "seen", "n"])
 
-    key = F.col(f"`{id}`")
-    fps = df.where(key.isNotNull()).select(key.alias("id"), of(F.col(f"`{text}`").cast("string")).alias("s"))
-    return fps.select("id", "s.*").where("n > 0")
+    keyed = df.select(*document_key(text, id), of(F.col(f"`{text}`").cast("string")).alias("s")).where("s.n > 0")
+    documents = keyed.groupBy(F.col("__doc").alias("name"), F.col("__sha").alias("digest")).agg(F.count(F.lit(1)).alias("rows"), F.first("s").alias("s"))
+    order = [F.col("name").asc_nulls_last(), "digest"]
+    # Partitions of a sorted table are in order, and so are these numbers.
+    numbered = documents.orderBy(*order).withColumn("id", F.monotonically_increasing_id())
+    return stored(numbered.select("name", "digest", "rows", "id", "s.*"), "wide-fingerprints")
+
+
+def document_key(text: str, id: str) -> list[Column]:
+    return [F.col(f"`{id}`").alias("__doc"), F.unhex(F.sha2(whole(F.col(f"`{text}`")), 256)).alias("__sha")]
+
+
+def same_document() -> Column:
+    return F.col("__doc").eqNullSafe(F.col("__name")) & (F.col("__sha") == F.col("__digest"))
 
 
 def table_cells(fps: DataFrame, tables: int, bits: int) -> DataFrame:
@@ -369,7 +383,7 @@ def _shingle_set(text: Column, k: int) -> Column:
     return let(words_of(text), of)
 
 
-def near_duplicates(
+def near_classes(
     df: DataFrame,
     text: str = "text",
     id: str = "doc_id",
@@ -378,25 +392,24 @@ def near_duplicates(
     tables: int = TABLES,
     bits: int = TABLE_BITS,
     rounds: int = 2,
-) -> DataFrame:
-    """(id, class_id) of every id that has a near duplicate; class_id is the smallest.
+) -> tuple[DataFrame, DataFrame]:
+    """The documents (``wide_fingerprints``) and (id, class_id) of those that have a near duplicate.
 
     Two texts are near duplicates when the Jaccard similarity of their sets of
     ``k``-word shingles reaches ``similarity``; classes are the connected
-    components.  Ids are the documents: null ids and texts without a word link to
-    nothing, and rows that share an id are one document.  Candidates come from the
+    components.  Texts without a word link to nothing.  Candidates come from the
     grid (``tables`` and ``bits`` are its least size) and are all verified exactly: first each document's nearest centre,
     ``rounds`` times, then whatever centre still lies in another class, and at last all
     pairs of a cell's members that do.
     """
-    fps = stored(wide_fingerprints(df, text, id, k).dropDuplicates(["id"]), "wide-fingerprints")
+    fps = wide_fingerprints(df, text, id, k)
     shared = shared_cells(fps, *grid_size(fps.count(), tables, bits))
     todo = stored(candidate_pairs(shared, fps, similarity), "candidates")
-    key = F.col(f"`{id}`")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = df.select(key.alias("id"), F.col(f"`{text}`").alias("t")).join(ends, "id", "left_semi")
+        keys = fps.join(ends, "id", "left_semi").select(F.col("name").alias("__name"), F.col("digest").alias("__digest"), "id")
+        texts = df.select(*document_key(text, id), F.col(f"`{text}`").alias("t")).join(keys, same_document())
         return stored(texts.select("id", _shingle_set(F.col("t"), k).alias("s")).dropDuplicates(["id"]), "shingles")
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -429,11 +442,36 @@ def near_duplicates(
             )
     apart = pairs_between_classes(shared, fps, found, similarity)
     found = merged(verified(apart, sets_of(apart)))
-    members = found.select(F.col("b").alias(id), F.col("a").alias("class_id"))
-    return members.unionByName(members.select(F.col("class_id").alias(id), "class_id")).distinct()
+    members = found.select(F.col("b").alias("id"), F.col("a").alias("class_id"))
+    return fps, members.unionByName(members.select(F.col("class_id").alias("id"), "class_id")).distinct()
+
+
+def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", **kw) -> DataFrame:
+    """(id, class_id) of every document that has a near duplicate; class_id is the smallest id.
+
+    A document is an id and a text: texts that share an id are each judged for
+    themselves, and null ids like any other; they are never the smallest (a class of
+    null ids alone has none).
+    """
+    documents, classes = near_classes(df, text, id, **kw)
+    name = lambda tag, as_: documents.select(F.col("id").alias(tag), F.col("name").alias(as_))
+    named = classes.withColumnRenamed("id", "tag").join(name("tag", "__id"), "tag").join(name("class_id", "__class"), "class_id")
+    return named.select(F.col("__id").alias(id), F.col("__class").alias("class_id"))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``df`` without those in a class of a smaller id, all columns."""
-    gone = near_duplicates(df, text, id, **kw).where(F.col(id) != F.col("class_id")).select(F.col(id).alias("__id"))
-    return df.join(gone, F.col(f"`{id}`") == F.col("__id"), "left_anti")
+    """The rows of ``df`` that stay, all columns: of each class the document with the smallest id.
+
+    Null ids come last, and of documents with one id the text with the smallest digest
+    stays.  Of rows repeated with the same id and text one stays, if it has a word.
+    """
+    documents, classes = near_classes(df, text, id, **kw)
+    keys = documents.select(F.col("name").alias("__name"), F.col("digest").alias("__digest"), "id", "rows")
+    gone = keys.join(classes.where("id != class_id"), "id", "left_semi").select("__name", "__digest")
+    marked = df.select("*", *document_key(text, id))
+    stay = marked.join(gone, same_document(), "left_anti")
+    repeated = keys.where("rows > 1").select("__name", "__digest")
+    if repeated.limit(1).count():
+        once = stay.join(repeated, same_document(), "left_semi").dropDuplicates(["__doc", "__sha"])
+        stay = stay.join(repeated, same_document(), "left_anti").unionByName(once)
+    return stay.select(*[F.col(f"`{c}`") for c in df.columns])
