@@ -3,8 +3,8 @@
 Pieces are dealt into groups of bounded size and packed best-fit, longest first, in
 each group.  Bins at least ``nearly_full`` are emitted; the others become the items
 of the next round, dealt anew into fewer groups, until one group is left or a round
-hardly merges anything.  Only (item, length) pairs move; token ids stay where they
-were written.
+hardly merges anything.  Only (item, length) pairs move in the rounds; token ids stay
+where they were written until their places are known, and then move once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.storage import stored
@@ -141,6 +141,16 @@ def token_pieces(
     return df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInPandas(pieces, schema)
 
 
+def ids_crc32(ids: Column) -> Column:
+    """CRC-32 of an array of ids as little-endian 32-bit words."""
+
+    @F.pandas_udf("long")
+    def of(arrays: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(x.astype("<u4").tobytes()) for x in arrays], dtype="int64")
+
+    return of(ids)
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) per item, longest first, each into the fullest bin it fits in."""
     room: list[list[int]] = [[] for _ in range(capacity + 1)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat, exact_dedup, packing, pieces, quality, secrets, simhash, substring, urlfilter, warc
 from tidemark.llm.common import table
 from tidemark.llm.sql import ORACLES
+from tidemark.sources.storage import stored
 
 TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 # The rules of the url query.
@@ -32,7 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER), keep_ids=False)
+    packed = stored(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER)), "packed")
+    return packed.select(
+        "doc_id", "piece", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "sequence_id", "offset"
+    )
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
