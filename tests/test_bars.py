@@ -2,7 +2,7 @@ import datetime as dt
 import time
 
 import pytest
-from conftest import daily, random_walk
+from bar_data import daily, random_walk
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean as cl

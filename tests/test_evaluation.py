@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import daily
+from bar_data import daily
 from pyspark.sql import functions as F
 
 from tidemark.operators import explain as ex
