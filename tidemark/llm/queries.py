@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, packing, pieces, quality, secrets, simhash, substring, urlfilter, warc
+from tidemark.llm import chat, exact_dedup, hardneg, lexical, minhash, packing, pieces, quality, secrets, simhash, substring, urlfilter, warc
 from tidemark.llm.common import table
 from tidemark.llm.sql import ORACLES
 from tidemark.sources.storage import stored
@@ -82,9 +82,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), anchor=F.col("id") % 50 == 0, label=moved)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_best_fit_packing, op3_tool_calls, op4_url_filter, op5_quality_rules,
     op6_substring_dedup, op7_piece_codec, op8_secret_scan, op9_simhash, op10_warc,
+    op11_ranked_search, op12_minhash, op13_hard_negatives,
 )}
 
 __all__ = ["ORACLES", "QUERIES"]
