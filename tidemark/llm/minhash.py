@@ -8,8 +8,9 @@ sets, in two steps that list no pairs of a group:
 * every member of a bucket is compared with one centre, the member that meets most
   others over all bands, so a group of near copies costs one comparison per copy;
 * buckets whose members still lie in different classes are compared whole, in cells
-  of bounded size.  A cell compares only members of different classes and hands on
-  just the links that join them, at most one less than it has members.
+  of bounded size: members outside the bucket's largest class against all members of
+  other classes.  A cell hands on just the links that join classes, at most one less
+  than it has members.
 
 Pairs whose signatures agree too little to reach the similarity are not looked up.
 Classes are components by alternating large and small stars.
@@ -180,11 +181,11 @@ def confirmed(pairs: DataFrame, full: DataFrame, similarity: tuple[int, int]) ->
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long"), "confirmed")
 
 
-def _cell_links(pdf: dict, similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that join classes in one cell; pairs of one block are compared in that block's own cell."""
-    ks, part = pdf["k"], pdf["part"]
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, MINIMA)
-    names, root = np.unique(pdf["root"], return_inverse=True)
+def _cell_links(rows: dict, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that join classes in one cell: its guests, each against all hosts of other classes."""
+    ks, guest, minor = rows["k"], rows["guest"], rows["minor"]
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, MINIMA)
+    names, root = np.unique(rows["root"], return_inverse=True)
     parent = list(range(len(names)))
 
     def find(x: int) -> int:
@@ -192,21 +193,16 @@ def _cell_links(pdf: dict, similarity: tuple[int, int]) -> list[tuple[int, int]]
             parent[x] = x = parent[parent[x]]
         return x
 
-    across, out = part.min() != part.max() or pdf["across"][0], []
-    for i in range(len(ks) - 1):
-        rest = slice(i + 1, None)
-        look = root[rest] != root[i]
-        if across:
-            look &= part[rest] != part[i]
-        at = np.flatnonzero(look) + i + 1
-        if not len(at):
-            continue
+    out = []
+    for i in np.flatnonzero(guest).tolist():
+        # Two minor members meet twice, once as host and once as guest.
+        at = np.flatnonzero(~guest & (root != root[i]) & (~minor | (ks < ks[i])))
         agree = (sig[at] == sig[i]).sum(1)
         at, agree = at[agree >= AGREE], agree[agree >= AGREE]
-        own = np.frombuffer(pdf["s"][i], np.uint64)
+        own = np.frombuffer(rows["s"][i], np.uint64)
         for j in at[np.argsort(-agree, kind="stable")].tolist():
             a, b = find(root[i]), find(root[j])
-            if a != b and linked(own, np.frombuffer(pdf["s"][j], np.uint64), similarity):
+            if a != b and linked(own, np.frombuffer(rows["s"][j], np.uint64), similarity):
                 parent[max(a, b)] = min(a, b)
                 out.append((int(ks[i]), int(ks[j])))
     return out
@@ -218,18 +214,24 @@ def links_between_classes(
     """(a, b) links between members of one bucket that lie in different classes (node, root)."""
     root = classes.select(F.col("node").alias("k"), "root")
     part = shared.where("m > 2").join(root, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    apart = part.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    mixed = stored(part.join(apart, "band"), "mixed-bands")
-    full = full_sets(df, sets, mixed, text, id, k)
-    # Blocks of about CELL members; every two of them, and each with itself, are a cell.
-    blocks = F.ceil(F.col("m") / CELL)
-    own = mixed.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("k", "band"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = own.withColumn("other", other).select(
-        "band", (F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")).alias("cell"), "part", (F.col("part") != F.col("other")).alias("across"), "k", "root"
+    # A bucket's largest class is its major one; only the others' members go round.
+    sizes = part.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    major = F.max(F.struct("c", "root")).alias("major")
+    apart = sizes.groupBy("band").agg(major, F.count(F.lit(1)).alias("classes")).where("classes > 1").select("band", "major")
+    member = part.join(apart, "band").withColumn("minor", F.col("root") != F.col("major.root"))
+    blocks = lambda n: F.ceil(n / CELL)
+    mixed = member.select(
+        "band", "k", "root", "minor", blocks(F.col("m")).alias("hosts"), blocks(F.col("m") - F.col("major.c")).alias("guests")
     )
-    held = cells.join(sets.select("k", "sig"), "k").join(full, "k")
-    dealt = held.repartition("band", "cell").sortWithinPartitions("band", "cell")
+    mixed = stored(mixed, "mixed-bands")
+    full = full_sets(df, sets, mixed, text, id, k)
+    # A cell is a block of hosts (all members) and one of guests (minor members), CELL of each on average.
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("k", "band"), n)
+    host = mixed.select("band", "k", "root", "minor", F.lit(False).alias("guest"), own(F.col("hosts")).alias("h"), each(F.col("guests")).alias("g"))
+    guest = mixed.where("minor").select("band", "k", "root", "minor", F.lit(True).alias("guest"), own(F.col("guests")).alias("g"), each(F.col("hosts")).alias("h"))
+    held = host.unionByName(guest).join(sets.select("k", "sig"), "k").join(full, "k")
+    dealt = held.repartition("band", "h", "g").sortWithinPartitions("band", "h", "g")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {}
@@ -237,22 +239,21 @@ def links_between_classes(
 
         def done() -> Iterator[pa.RecordBatch]:
             if now is not None and len(rows["k"]) > 1:
-                pdf = {c: np.array(v) if c in ("k", "root", "part") else v for c, v in rows.items()}
-                found = _cell_links(pdf, similarity)
+                found = _cell_links({c: v if c in ("sig", "s") else np.array(v) for c, v in rows.items()}, similarity)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             got = batch.to_pydict()
-            for i, cell in enumerate(zip(got["band"], got["cell"])):
+            for i, cell in enumerate(zip(got["band"], got["h"], got["g"])):
                 if cell != now:
                     yield from done()
-                    rows, now = {c: [] for c in ("k", "root", "part", "across", "sig", "s")}, cell
+                    rows, now = {c: [] for c in ("k", "root", "minor", "guest", "sig", "s")}, cell
                 for c in rows:
                     rows[c].append(got[c][i])
         yield from done()
 
-    return stored(dealt.select("band", "cell", "part", "across", "k", "root", "sig", "s").mapInArrow(compare, "a long, b long"), "links")
+    return stored(dealt.select("band", "h", "g", "k", "root", "minor", "guest", "sig", "s").mapInArrow(compare, "a long, b long"), "links")
 
 
 def minhash_classes(
