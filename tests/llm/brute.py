@@ -58,29 +58,6 @@ def simhash(docs, k=3):
     return [(d, f"{p:016x}", least.get(roots[place[p]])) for (d, _), p in zip(docs, prints)]
 
 
-def shingles(text, k=5):
-    w = words(text)
-    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
-
-
-def near_classes(docs, similarity=0.8):
-    """doc_id -> smallest id of its class, for docs with distinct ids; only classes of two or more."""
-    sets = [shingles(t) for _, t in docs]
-    links = []
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a and b and min(len(a), len(b)) >= similarity * max(len(a), len(b)):
-                n = len(a & b)
-                if n >= similarity * (len(a) + len(b) - n):
-                    links.append((i, j))
-    order = sorted(range(len(docs)), key=lambda i: docs[i][0])
-    at = {i: k for k, i in enumerate(order)}
-    roots = joined(len(docs), [(at[i], at[j]) for i, j in links])
-    size = Counter(roots)
-    return {docs[order[k]][0]: docs[order[r]][0] for k, r in enumerate(roots) if size[r] > 1}
-
-
 ASSIGN = re.compile(
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""

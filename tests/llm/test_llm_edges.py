@@ -41,13 +41,3 @@ def test_nulls_and_repeats(name, spark):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty(name, spark):
     assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_grid_grows_with_the_corpus():
-    from tidemark.llm.simhash import grid_size
-
-    assert grid_size(0) == grid_size(1) == grid_size(2**22) == (160, 24)
-    sizes = [grid_size(10**n) for n in range(13)]
-    assert sizes == sorted(sizes)
-    assert all(2**bits >= 4 * 10**n for n, (_, bits) in enumerate(sizes))
-    assert all(tables * 0.85**bits >= 160 * 0.85**24 - 1e-9 for tables, bits in sizes)

@@ -33,8 +33,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def python_words(text: str | None) -> list[bytes]:
-    """The words of ``words_of`` in UTF-8; ``bytes.split`` knows just the ASCII blanks."""
-    return text.encode().split() if text else []

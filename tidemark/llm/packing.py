@@ -3,7 +3,9 @@
 Pieces are dealt into groups of bounded size and packed best-fit, longest first, in
 each group.  Bins at least ``nearly_full`` are emitted; the others become the items
 of the next round, dealt anew into fewer groups, until one group is left or a round
-hardly merges anything.  Only (item, length) pairs move in the rounds; token ids stay
+merges less than one item a group.  Best fit leaves at most one bin of a group half
+empty, and two fuller ones never fit together, so what such an end gives away is at
+most one sequence per group of ``GROUP_ITEMS`` items.  Only (item, length) pairs move in the rounds; token ids stay
 where they were written until their places are known, and then move once.
 """
 
@@ -11,12 +13,13 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +27,44 @@ from tidemark.sources.storage import stored
 
 CAPACITY = 2048
 GROUP_ITEMS = 50_000
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 # Fixed value: a token that is matched before anything else, so it keeps its neighbours apart.
 SEPARATOR = "<|endoftext|>"
 
 
-# Marks between a letter and a blank are a token's run of their own.
-TRAILING = re.compile(rb"(?<=[a-z])[.,#$%&*]+(?=[ \n])")
+# ASCII punctuation without the apostrophe of contractions and the signs of special tokens.
+MARKS = b".,#$%&*;:!?()"
+SHORT = 16  # bytes of a word that two machine words hold
+KIND = np.full(256, 3, np.int8)  # 0 white space, 1 ASCII letter, 2 mark, 3 anything else
+KIND[list(b" \t\n\x0b\x0c\r")] = 0
+KIND[97:123] = 1
+KIND[list(MARKS)] = 2
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+BATCH_BYTES = 4 << 20
 
 
-def vocabulary_words(text: str) -> list[bytes]:
-    """Words to look up, with fewer spellings: the tokenizer ignores case anyway."""
-    raw = text.encode()
-    return raw.split() if b"<|" in raw else TRAILING.sub(rb" \g<0>", raw.lower()).split()
+def hashed(key: np.ndarray) -> np.ndarray:
+    h = (key[:, 0] ^ (key[:, 1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the place of one of each, and which of them every row is."""
+    _, where, which = np.unique(hashed(key), return_index=True, return_inverse=True)
+    if (key[where][which] != key).any():  # two words with one hash
+        _, where, which = np.unique(key, axis=0, return_index=True, return_inverse=True)
+    return key[where], where, which.ravel()
 
 
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that never joins across white space.
 
     Its pre-tokenizer drops white space and keeps every match apart, so a text's ids
-    are those of its words in a row.  Words repeat far more often than texts: each
-    is encoded once and looked up afterwards; the memory starts over when it is full.
+    are those of its words in a row.  Words repeat far more often than texts: each is
+    encoded once and looked up afterwards, up to ``SHORT`` bytes by its bytes as two
+    machine words in an open hash table, longer ones in a dictionary.  A text is cut
+    at ASCII white space and between ASCII letters and ``MARKS``, where a match of the
+    pre-tokenizer always ends.  The memory starts over when it is full.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -55,9 +75,13 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.slots = 1 << (4 * self.cached - 1).bit_length()
+        self.key = np.zeros((self.slots, 2), np.uint64)
+        self.entry = np.full(self.slots, -1, np.int32)
+        self.probes = 1
+        self.long: dict[bytes, int] = {}
+        #: Entry 0 is a document's end.
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of words; many share a text, held apart by a token of the vocabulary."""
@@ -67,88 +91,140 @@ class WordTokenizer:
         ends = np.flatnonzero(ids == self.separator)
         return np.diff(ends, prepend=-1) - 1, ids[ids != self.separator]
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.cached:
-            self.clear()
-        odd = [w for w in words if b"<|" in w]
-        plain = [w for w in words if b"<|" not in w] if odd else words
-        lengths, ids = self._ids([w.decode() for w in plain])
-        alone = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in odd]
-        lengths = np.concatenate([lengths, np.array([len(x) for x in alone], np.int64)])
-        ends = np.cumsum(lengths)
-        self.known.update(zip([*plain, *odd], range(len(self.known), len(self.known) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + ends - lengths])
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Entries of new words, which hold no part of a special token."""
+        lengths, ids = self._ids([w.decode() for w in words])
+        first = len(self.lengths)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, ids, np.array([i for x in alone for i in x], np.uint32)])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [vocabulary_words(t) if t else [] for t in texts]
-        flat = list(itertools.chain.from_iterable(split))
-        at = list(map(self.known.get, flat))
-        if None in at:
-            missing = [k for k, i in enumerate(at) if i is None]
-            fresh = list({flat[k] for k in missing})
-            if len(self.known) + len(fresh) > self.cached:  # it starts over
-                fresh, missing = list(set(flat)), range(len(flat))
-                self.cached = max(self.cached, len(fresh))
-            self.learn(fresh)
-            for k in missing:
-                at[k] = self.known[flat[k]]
-        at = np.array(at, np.int64)
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)]
-        words = np.cumsum([len(x) for x in split])
-        bounds = np.concatenate([[0], ends])[words] if len(ends) else np.zeros(len(split), np.int64)
-        return np.split(ids, bounds[:-1]) if len(split) else []
-
-
-@functools.lru_cache(maxsize=2)
+        self.flat = np.concatenate([self.flat, ids])
+        return np.arange(first, len(self.lengths), dtype=np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (hashed(key) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def look_up(self, key: np.ndarray) -> np.ndarray:
+        """Entry of every key, -1 if new."""
+        slot = self._slot(key)
+        out = np.full(len(key), -1, np.int32)
+        left = np.arange(len(key))
+        for probe in range(self.probes):
+            at = (slot[left] + probe) & (self.slots - 1)
+            same = (self.key[at] == key[left]).all(1) & (self.entry[at] >= 0)
+            out[left[same]] = self.entry[at[same]]
+            left = left[~same & (self.entry[at] >= 0)]
+            if not len(left):
+                break
+        return out
+
+    def insert(self, key: np.ndarray, entry: np.ndarray) -> None:
+        slot, left, probe = self._slot(key), np.arange(len(key)), 0
+        while len(left):
+            at = (slot[left] + probe) & (self.slots - 1)
+            _, first = np.unique(at, return_index=True)
+            first = first[self.entry[at[first]] < 0]
+            self.key[at[first]], self.entry[at[first]] = key[left[first]], entry[left[first]]
+            left = np.delete(left, first)
+            probe += 1
+        self.probes = max(self.probes, probe)
+
+    def entries(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(start, entry) of the words of a lower-cased text."""
+        kind = KIND[np.frombuffer(text, np.uint8)]
+        before, after = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [0]])
+        starts = np.flatnonzero((kind != 0) & ((before == 0) | (before * kind == 2)))
+        size = np.flatnonzero((kind != 0) & ((after == 0) | (after * kind == 2))) + 1 - starts
+        padded = np.frombuffer(text + bytes(SHORT), np.uint8)
+        words = np.ndarray(len(text) + SHORT - 7, "<u8", padded, strides=(1,))
+        short = np.flatnonzero(size <= SHORT)
+        key = np.empty((len(short), 2), np.uint64)
+        for i in (0, 1):
+            key[:, i] = words[starts[short] + 8 * i] & LOW_BYTES[np.clip(size[short] - 8 * i, 0, 8)]
+        found = np.empty(len(starts), np.int32)
+        found[short] = self.look_up(key)
+        long = np.flatnonzero(size > SHORT)
+        spelled = [text[a : a + n] for a, n in zip(starts[long].tolist(), size[long].tolist())]
+        found[long] = [self.long.get(w, -1) for w in spelled]
+        new = short[found[short] < 0]
+        fresh_long = list({w for w, e in zip(spelled, found[long].tolist()) if e < 0})
+        if len(new):
+            keys, where, which = distinct(key[found[short] < 0])
+            shown = new[where]
+            entry = self.learn([text[a : a + n] for a, n in zip(starts[shown].tolist(), size[shown].tolist())])
+            if len(self.lengths) <= self.cached:
+                self.insert(keys, entry)
+            found[new] = entry[which]
+        if fresh_long:
+            entry = dict(zip(fresh_long, self.learn(fresh_long).tolist()))
+            self.long.update(entry)
+            found[long] = [self.long[w] for w in spelled]
+        return starts, found
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        """Ids of a text that may hold a special token, word by word as it stands."""
+        found = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in text.split()]
+        return np.array(list(itertools.chain.from_iterable(found)), np.uint32)
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths): every text's ids and id 0, one after another."""
+        if len(self.lengths) > self.cached:
+            self.clear()
+        odd = {i for i, t in enumerate(texts) if t and b"<|" in t}
+        plain = [b"" if i in odd else (t or b"").lower() for i, t in enumerate(texts)]
+        ends = np.cumsum([len(t) + 1 for t in plain])
+        starts, entry = self.entries(b"\n".join(plain) + b"\n")
+        upto = np.searchsorted(starts, ends)
+        entry = np.insert(entry, upto, 0)
+        n = self.lengths[entry]
+        stop = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[entry] - stop + n, n) + np.arange(int(stop[-1]))]
+        bounds = stop[upto + np.arange(len(texts))]
+        if odd:
+            parts = np.split(ids, bounds[:-1])
+            for i in odd:
+                parts[i] = np.append(self._whole(texts[i]), np.uint32(0))
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, np.diff(bounds, prepend=0)
+
+
+@functools.lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def token_pieces(
-    df: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY, keep_ids: bool = True
-) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32 and, if asked, the ids.
+def token_pieces(df: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """Per piece: id, piece, start, length and ids.
 
     A document is its ids followed by id 0; null and empty texts are that id alone.
     Only documents longer than ``capacity`` are cut; just their last piece may be
-    shorter.  Texts are encoded whole.
+    shorter.  Texts are encoded whole, in batches of about ``BATCH_BYTES``.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(rows: pa.RecordBatch, encoder: WordTokenizer) -> pa.RecordBatch:
+        ids, lengths = encoder.encode(rows.column("text").cast(pa.binary()).to_pylist())
+        many = -(-lengths // capacity)
+        of = np.repeat(np.arange(len(lengths)), many)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * capacity
+        length = np.minimum(lengths[of] - start, capacity)
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        data = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
+        columns = [rows.column("id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data]
+        return pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokenizer(tokenizer)
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                rows = []
-                for key, ids in zip(part["id"].tolist(), encoder.encode(part["text"].tolist())):
-                    ids = np.append(ids, np.uint32(0))
-                    for i, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        row = (key, i, start, len(own), zlib.crc32(own.astype("<u4").tobytes()))
-                        rows.append((*row, own.astype(np.int32)) if keep_ids else row)
-                out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
-                if out["id"].hasnans:
-                    out["id"] = out["id"].astype(object).where(out["id"].notna(), None)
-                yield out
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right")))
+                yield pieces(batch.slice(at, stop - at), encoder)
+                at = stop
 
     kind = df.schema[id].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInPandas(pieces, schema)
-
-
-def ids_crc32(ids: Column) -> Column:
-    """CRC-32 of an array of ids as little-endian 32-bit words."""
-
-    @F.pandas_udf("long")
-    def of(arrays: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(x.astype("<u4").tobytes()) for x in arrays], dtype="int64")
-
-    return of(ids)
+    source = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return source.mapInArrow(encode, f"id {kind}, piece int, start long, length long, ids array<int>")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +285,7 @@ def pack(
         rounds.append(packed)
         rest = packed.where("not done and item = bin").select("item", F.col("fill").alias("length"))
         carried, made = rest.count(), packed.where("item = bin").count()
-        if groups == 1 or made > 0.999 * n:
+        if groups == 1 or made > n - groups:
             break
         n, turn = carried, turn + 1
     final = None
@@ -225,15 +301,29 @@ def pack(
     return whole if final is None else whole.unionByName(final)
 
 
-def pack_documents(
-    df: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY, keep_ids: bool = True, **kw
-) -> DataFrame:
-    """Pieces of all documents with their sequence_id and offset.
+def ids_crc32(ids: Column) -> Column:
+    """CRC-32 of an array of ids as little-endian 32-bit words."""
+
+    @F.pandas_udf("long")
+    def of(arrays: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(x.astype("<u4", copy=False)) for x in arrays], dtype="int64")
 
-    Rows repeated are packed each for itself; an empty table gives no rows; other
-    columns are not looked at.
+    return of(ids)
+
+
+def pack_documents(df: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY, **kw) -> DataFrame:
+    """Pieces of all documents with their ids, ids_crc32, sequence_id and offset.
+
+    Rows repeated, and rows that share an id or have none, are packed each for itself;
+    ids of documents are carried, never computed with.  Texts of any length are packed
+    whole; of equal lengths the earlier piece goes first.  An empty table gives no
+    rows; other columns are not looked at.
     """
-    pieces = token_pieces(df, tokenizer, text, id, capacity, keep_ids).withColumn("item", F.monotonically_increasing_id())
-    pieces = stored(pieces, "pieces")
+    pieces = stored(numbered(token_pieces(df, tokenizer, text, id, capacity)), "pieces")
     placed = pack(pieces.select("item", "length"), capacity, **kw)
-    return pieces.join(placed, "item").drop("item").withColumnRenamed("id", id)
+    summed = pieces.withColumn("ids_crc32", ids_crc32(F.col("ids")))
+    return summed.join(placed, "item").drop("item").withColumnRenamed("id", id)
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    return pieces.withColumn("item", F.monotonically_increasing_id())

@@ -33,10 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = stored(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER)), "packed")
-    return packed.select(
-        "doc_id", "piece", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "sequence_id", "offset"
-    )
+    pieces = stored(packing.numbered(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))), "pieces")
+    places = packing.pack(pieces.select("item", "length"))
+    sums = pieces.select("item", F.col("id").alias("doc_id"), "piece", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"))
+    return sums.join(places, "item").drop("item")
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,10 @@ one: the fingerprints one flipped bit away that fall into the cell.  Two fingerp
 meet at the same flipped fingerprint exactly when they differ in at most two bits,
 and at most 65 fingerprints can meet there, so no pair is ever listed that is no
 link, and a dense group costs no more per row than a sparse one.
-
-``near_duplicates`` serves similarities that 64 bits cannot tell apart: it takes a
-wide fingerprint, visits cells of sampled one-bit segments, and verifies links by
-the exact Jaccard similarity of word shingles: first with a cell's centre, then
-between all members of a cell that are still in different classes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +22,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, python_words, whole, words_of
 from tidemark.llm.components import connected_components
 from tidemark.sources.storage import stored
 
@@ -143,335 +136,19 @@ def simhash_classes(df: DataFrame, text: str = "text", id: str = "doc_id", k: in
     return rows.join(named, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
-# Near duplicates by similarity -------------------------------------------------
-
-WORDS = 8  # 64-bit words of a wide fingerprint
-TABLES = 160
-TABLE_BITS = 24
-SAME_BIT = 0.85  # share of bits two texts agree in at a similarity of 0.8
-SEEN_BITS = 2048  # of the bitmap that bounds how many shingles two texts share
-CROWDED = 1024  # members of a cell; larger ones are split
-SPLIT_BITS, SPLIT_TABLES = 8, 11  # three times the tables that the bits cost at SAME_BIT: a pair stays together in 97 %
-SPLITS = 16
-
-
-def _wide_bits(h: np.ndarray) -> np.ndarray:
-    """512 majority bits over distinct hashes."""
-    out = np.zeros(64 * WORDS, bool)
-    for w in range(WORDS):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        out[64 * w : 64 * w + 64] = bit_counts(x ^ (x >> np.uint64(32))) * 2 > len(h)
-    return out
-
-
-def wide_fingerprints(df: DataFrame, text: str, id: str, k: int = 5) -> DataFrame:
-    """(name, digest, rows, id, fp array<long>, seen array<long>, n) of every document with a word.
-
-    A document is an id (``name``) and a text; ``rows`` counts its rows.  The new
-    ``id`` is a number in order of name and digest, null names last, so the smallest
-    of a class stands for the smallest name.  The other columns come from the set of
-    distinct ``k``-word shingles that is verified later: the fingerprint, a bitmap
-    of the hashes and their number.
-    """
-
-    @F.pandas_udf("fp array<long>, seen array<long>, n long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                h = np.unique(shingle_hashes(python_words(t), k))
-                seen = np.zeros(SEEN_BITS, bool)
-                seen[(h % np.uint64(SEEN_BITS)).astype(np.int64)] = True
-                fp, seen = (np.packbits(x, bitorder="little").view("<i8") for x in (_wide_bits(h), seen))
-                rows.append((fp, seen, len(h)))
-            yield pd.DataFrame(rows, columns=["fp", "seen", "n"])
-
-    keyed = df.select(*document_key(text, id), of(F.col(f"`{text}`").cast("string")).alias("s")).where("s.n > 0")
-    documents = keyed.groupBy(F.col("__doc").alias("name"), F.col("__sha").alias("digest")).agg(F.count(F.lit(1)).alias("rows"), F.first("s").alias("s"))
-    order = [F.col("name").asc_nulls_last(), "digest"]
-    # Partitions of a sorted table are in order, and so are these numbers.
-    numbered = documents.orderBy(*order).withColumn("id", F.monotonically_increasing_id())
-    return stored(numbered.select("name", "digest", "rows", "id", "s.*"), "wide-fingerprints")
-
-
-def document_key(text: str, id: str) -> list[Column]:
-    return [F.col(f"`{id}`").alias("__doc"), F.unhex(F.sha2(whole(F.col(f"`{text}`")), 256)).alias("__sha")]
-
-
-def same_document() -> Column:
-    return F.col("__doc").eqNullSafe(F.col("__name")) & (F.col("__sha") == F.col("__digest"))
-
-
-def table_cells(fps: DataFrame, tables: int, bits: int) -> DataFrame:
-    """(cell, id): one row per table; a cell is the counts of its sampled one-bit segments."""
-    rng = np.random.default_rng(SEED)
-    sampled = np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)])
-    weights = (1 << np.arange(bits)).astype(np.int64)
-    offset = np.arange(tables, dtype=np.int64) << bits
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 1000):
-                part = pdf.iloc[i : i + 1000]
-                raw = np.stack(part["fp"].to_numpy()).astype("<i8").view(np.uint8)
-                on = np.unpackbits(raw, axis=1, bitorder="little")
-                keys = np.stack([on[:, s].astype(np.int64) @ weights for s in sampled], axis=1) + offset
-                yield pd.DataFrame({"cell": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), tables)})
-
-    return fps.mapInPandas(cells, f"cell long, id {fps.schema['id'].dataType.simpleString()}")
-
-
-def grid_size(documents: int, tables: int = TABLES, bits: int = TABLE_BITS) -> tuple[int, int]:
-    """(tables, bits) for so many documents: cells that unrelated ones rarely share.
-
-    A cell's bits follow the logarithm of the corpus, so a cell holds a quarter of an
-    unrelated document on average at any size; the tables grow with them, so that a
-    pair at the least similarity still shares as many cells as before.
-    """
-    wide = max(bits, math.ceil(math.log2(max(documents, 1))) + 2)
-    return math.ceil(tables / SAME_BIT ** (wide - bits)), wide
-
-
-def may_be_near(similarity: float) -> Column:
-    """Whether sets a and b can reach the similarity, from their sizes and bitmaps alone.
-
-    Every bit of one bitmap that the other lacks stands for a shingle the other text
-    does not have, so the bound never rejects a pair that reaches it.
-    """
-
-    def lacking(x: str, y: str) -> Column:
-        ones = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(ones, F.lit(0).cast("long"), lambda s, m: s + m)
-
-    most = F.least(F.col("na") - lacking("sa", "sb"), F.col("nb") - lacking("sb", "sa"))
-    return most >= similarity * (F.col("na") + F.col("nb") - most)
-
-
-def shared_cells(fps: DataFrame, tables: int, bits: int) -> DataFrame:
-    """(cell, id, n) of cells that n > 1 documents visit."""
-    visited = table_cells(fps, tables, bits).repartition("cell")
-    busy = visited.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stored(visited.join(busy, "cell"), "shared-cells")
-
-
-def candidate_pairs(shared: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, bits) of documents that share a cell with its centre and may be near.
-
-    A cell's centre is the member that meets most others over all tables.  In a group
-    of near copies that is the text they derive from, in every cell it visits, so a
-    copy meets its origin even where copies are too far from each other, and members
-    of a large group meet the same few centres instead of new ones in every table.
-    """
-    by_id = shared.repartition("id")
-    crowd = by_id.groupBy("id").agg(F.sum("n").alias("crowd"))
-    first = F.max(F.struct("crowd", F.xxhash64("id").alias("h"), F.col("id").alias("centre")))
-    centres = by_id.join(crowd, "id").groupBy("cell").agg(first.alias("c")).select("cell", "c.centre")
-    met = shared.join(centres, "cell").where("id != centre")
-    pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    one = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("seen").alias("sa"), F.col("n").alias("na"))
-    two = fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("seen").alias("sb"), F.col("n").alias("nb"))
-    apart = F.aggregate(
-        F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n
-    )
-    return pairs.join(one, "a").join(two, "b").where(may_be_near(similarity)).select("a", "b", apart.alias("bits"))
-
-
-def split_cells(members: DataFrame, fps: DataFrame, level: int) -> DataFrame:
-    """(cell, id, root): every cell dealt into cells of further sampled bits, ``SPLIT_TABLES`` times."""
-    rng = np.random.default_rng([SEED, level])
-    sampled = np.stack([rng.choice(64 * WORDS, SPLIT_BITS, replace=False) for _ in range(SPLIT_TABLES)])
-    weights = (1 << np.arange(SPLIT_BITS)).astype(np.uint64)
-    offset = np.arange(SPLIT_TABLES, dtype=np.uint64) << np.uint64(SPLIT_BITS)
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 1000):
-                part = pdf.iloc[i : i + 1000]
-                raw = np.stack(part["fp"].to_numpy()).astype("<i8").view(np.uint8)
-                on = np.unpackbits(raw, axis=1, bitorder="little")
-                keys = np.stack([on[:, s].astype(np.uint64) @ weights for s in sampled], axis=1) + offset
-                x = (part["cell"].to_numpy().view(np.uint64)[:, None] ^ keys * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                own = {c: np.repeat(part[c].to_numpy(), SPLIT_TABLES) for c in ("id", "root")}
-                yield pd.DataFrame({"cell": (x ^ (x >> np.uint64(32))).ravel().view(np.int64), **own})
-
-    kind = fps.schema["id"].dataType.simpleString()
-    return members.join(fps.select("id", "fp"), "id").mapInPandas(cells, f"cell long, id {kind}, root {kind}")
-
-
-def _near_in_cell(pdf: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of members of different classes whose sizes and bitmaps let them be near."""
-    seen = np.stack(pdf["seen"].to_numpy()).view(np.uint64)
-    n, (root, _) = pdf["n"].to_numpy(), pd.factorize(pdf["root"])
-    one, two = [], []
-    step = max(1, CHUNK // len(pdf))
-    for i in range(0, len(pdf), step):
-        part, later = slice(i, i + step), slice(i + 1, None)
-        lack = np.bitwise_count(seen[part, None] & ~seen[None, later]).sum(2, dtype=np.int64)
-        lacked = np.bitwise_count(~seen[part, None] & seen[None, later]).sum(2, dtype=np.int64)
-        most = np.minimum(n[part, None] - lack, n[None, later] - lacked)
-        near = (most >= similarity * (n[part, None] + n[None, later] - most)) & (root[part, None] != root[None, later])
-        a, b = np.nonzero(near)
-        keep = a <= b  # every pair once
-        one.append(a[keep] + i)
-        two.append(b[keep] + i + 1)
-    return np.concatenate(one), np.concatenate(two)
-
-
-def near_in_cells(members: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of members (cell, id, root) of one cell and different classes that may be near."""
-    kind = fps.schema["id"].dataType.simpleString()
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, cells = pdf["id"].to_numpy(), pdf["cell"].to_numpy()
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
-        found = [np.empty((0, 2), ids.dtype)]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            a, b = _near_in_cell(pdf.iloc[lo:hi], similarity)
-            found.append(np.sort(np.stack([ids[lo + a], ids[lo + b]], axis=1), axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"]).drop_duplicates()
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # of the cell that may go on in the next batch
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cut = int(np.searchsorted(pdf["cell"].to_numpy(), pdf["cell"].iloc[-1]))
-            if cut or rest and rest[-1]["cell"].iloc[-1] != pdf["cell"].iloc[0]:
-                yield compare(pd.concat([*rest, pdf.iloc[:cut]]))
-                rest = []
-            rest.append(pdf.iloc[cut:])
-        if rest:
-            yield compare(pd.concat(rest))
-
-    dealt = members.join(fps.select("id", "seen", "n"), "id").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(pairs, f"a {kind}, b {kind}")
-
-
-def pairs_between_classes(shared: DataFrame, fps: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) that share a cell, lie in different classes of ``found`` (b, a = its root) and may be near.
-
-    A cell of two needs nothing, its pair was compared.  A cell of more than
-    ``CROWDED`` members is split as long as it has several classes; one that
-    ``SPLITS`` rounds do not part is compared whole.
-    """
-    classes = found.select(F.col("b").alias("id"), F.col("a").alias("root"))
-    part = shared.where("n > 2").select("cell", "id").join(classes, "id", "left")
-    part = part.select("cell", "id", F.coalesce("root", "id").alias("root"))
-    out = None
-    for level in range(SPLITS + 1):
-        sizes = part.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        part = stored(part.join(sizes.where("lo != hi").select("cell", "m"), "cell"), "mixed-cells")
-        crowded = part.where(F.col("m") > CROWDED).select("cell", "id", "root")
-        last = level == SPLITS or not crowded.limit(1).count()
-        here = near_in_cells(part if last else part.where(F.col("m") <= CROWDED), fps, similarity)
-        out = here if out is None else out.unionByName(here)
-        if last:
-            return stored(out.distinct(), "candidates")
-        part = stored(split_cells(crowded, fps, level), "split-cells")
-
-
-def _shingle_set(text: Column, k: int) -> Column:
-    """Distinct hashes of the k-word shingles; fewer words make one shingle."""
-
-    def of(w: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(w) - k)
-        many = F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-        return F.when(F.size(w) > k, F.array_distinct(many)).otherwise(F.array(F.xxhash64(F.concat_ws(" ", w))))
-
-    return let(words_of(text), of)
-
-
-def near_classes(
-    df: DataFrame,
-    text: str = "text",
-    id: str = "doc_id",
-    k: int = 5,
-    similarity: float = 0.8,
-    tables: int = TABLES,
-    bits: int = TABLE_BITS,
-    rounds: int = 2,
-) -> tuple[DataFrame, DataFrame]:
-    """The documents (``wide_fingerprints``) and (id, class_id) of those that have a near duplicate.
-
-    Two texts are near duplicates when the Jaccard similarity of their sets of
-    ``k``-word shingles reaches ``similarity``; classes are the connected
-    components.  Texts without a word link to nothing.  Candidates come from the
-    grid (``tables`` and ``bits`` are its least size) and are all verified exactly: first each document's nearest centre,
-    ``rounds`` times, then whatever centre still lies in another class, and at last all
-    pairs of a cell's members that do.
-    """
-    fps = wide_fingerprints(df, text, id, k)
-    shared = shared_cells(fps, *grid_size(fps.count(), tables, bits))
-    todo = stored(candidate_pairs(shared, fps, similarity), "candidates")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        keys = fps.join(ends, "id", "left_semi").select(F.col("name").alias("__name"), F.col("digest").alias("__digest"), "id")
-        texts = df.select(*document_key(text, id), F.col(f"`{text}`").alias("t")).join(keys, same_document())
-        return stored(texts.select("id", _shingle_set(F.col("t"), k).alias("s")).dropDuplicates(["id"]), "shingles")
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-        two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        near = common >= similarity * (F.size("sa") + F.size("sb") - common)
-        return stored(pairs.select("a", "b").join(one, "a").join(two, "b").where(near).select("a", "b"), "verified")
-
-    def merged(links: DataFrame) -> DataFrame:
-        classes = connected_components(links if found is None else found.unionByName(links))
-        return stored(classes.select(F.col("node").alias("b"), F.col("root").alias("a")), "classes")
-
-    found, sets = None, sets_of(todo)
-    for turn in range(rounds + 1):
-        pick = todo
-        if turn < rounds:
-            sides = todo.select(F.col("a").alias("n"), "a", "b", "bits").unionByName(
-                todo.select(F.col("b").alias("n"), "a", "b", "bits")
-            )
-            best = F.min(F.struct("bits", F.xxhash64("a", "b").alias("h"), "a", "b"))
-            pick = sides.groupBy("n").agg(best.alias("best")).select("best.a", "best.b").distinct()
-        found = merged(verified(pick, sets))
-        if turn < rounds:
-            left = todo.join(pick.select("a", "b"), ["a", "b"], "left_anti")
-            name = lambda side: found.select(F.col("b").alias(side), F.col("a").alias(f"r{side}"))
-            apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-            todo = stored(
-                left.join(name("a"), "a", "left").join(name("b"), "b", "left").where(apart).select("a", "b", "bits"), "candidates"
-            )
-    apart = pairs_between_classes(shared, fps, found, similarity)
-    found = merged(verified(apart, sets_of(apart)))
-    members = found.select(F.col("b").alias("id"), F.col("a").alias("class_id"))
-    return fps, members.unionByName(members.select(F.col("class_id").alias("id"), "class_id")).distinct()
-
-
-def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", **kw) -> DataFrame:
-    """(id, class_id) of every document that has a near duplicate; class_id is the smallest id.
-
-    A document is an id and a text: texts that share an id are each judged for
-    themselves, and null ids like any other; they are never the smallest (a class of
-    null ids alone has none).
-    """
-    documents, classes = near_classes(df, text, id, **kw)
-    name = lambda tag, as_: documents.select(F.col("id").alias(tag), F.col("name").alias(as_))
-    named = classes.withColumnRenamed("id", "tag").join(name("tag", "__id"), "tag").join(name("class_id", "__class"), "class_id")
-    return named.select(F.col("__id").alias(id), F.col("__class").alias("class_id"))
-
-
-def drop_near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``df`` that stay, all columns: of each class the document with the smallest id.
+def drop_near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = 3) -> DataFrame:
+    """The rows of ``df`` that stay, all columns: of each class of ``simhash_classes`` one.
 
-    Null ids come last, and of documents with one id the text with the smallest digest
-    stays.  Of rows repeated with the same id and text one stays, if it has a word.
+    The row with the smallest id stays, null ids last; of rows that share it, any one.
+    Every row is judged for itself, whatever its id, so rows repeated are one class.
+    An empty table gives no rows.
     """
-    documents, classes = near_classes(df, text, id, **kw)
-    keys = documents.select(F.col("name").alias("__name"), F.col("digest").alias("__digest"), "id", "rows")
-    gone = keys.join(classes.where("id != class_id"), "id", "left_semi").select("__name", "__digest")
-    marked = df.select("*", *document_key(text, id))
-    stay = marked.join(gone, same_document(), "left_anti")
-    repeated = keys.where("rows > 1").select("__name", "__digest")
-    if repeated.limit(1).count():
-        once = stay.join(repeated, same_document(), "left_semi").dropDuplicates(["__doc", "__sha"])
-        stay = stay.join(repeated, same_document(), "left_anti").unionByName(once)
-    return stay.select(*[F.col(f"`{c}`") for c in df.columns])
+    tag = "tag"
+    while tag in df.columns:
+        tag += "_"
+    tagged = stored(df.withColumn(tag, F.monotonically_increasing_id()), "tagged")
+    classes = simhash_classes(tagged, text, tag, k).select(tag, "component_id")
+    named = classes.join(tagged.select(tag, F.col(f"`{id}`").alias("id")).alias("t"), tag)
+    first = F.min(F.struct(F.col("id").isNull(), "id", tag)).alias("first")
+    stay = named.groupBy("component_id").agg(first).select(F.col("first")[tag].alias(tag))
+    return tagged.join(stay, tag, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
