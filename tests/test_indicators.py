@@ -155,8 +155,46 @@ def test_groups_can_be_switched_off(spark, walk):
     assert config.digest() != CONFIG.digest() and len(CONFIG.digest()) == 12
 
 
-@pytest.mark.parametrize("make", [ind.ema, ind.macd, ind.rsi, ind.atr])
-def test_exponential_means_refuse_gaps(spark, make):
-    df = daily(spark, random_walk(60)).withColumn("Close", F.when(F.dayofmonth("Date") != 9, F.col("Close")))
-    with pytest.raises(Exception, match="an exponential mean needs"):
-        add_indicators(df, [make()]).collect()
+def gappy(n, seed=5, freq="D", symbol="GAPS"):
+    """A walk with gaps at the start, alone, in runs and over thousands of rows, each column its own."""
+    p = random_walk(n, seed, symbol, freq)
+    rng = np.random.default_rng(seed)
+    for c, share in (("Close", 0.2), ("High", 0.05), ("Low", 0.05)):
+        p.loc[rng.random(n) < share, c] = np.nan
+        for at in rng.integers(0, n, 5):
+            p.loc[at : at + rng.integers(2, 40), c] = np.nan
+    p.loc[:6, ["Close", "High"]] = np.nan
+    return p
+
+
+EWM = ["ema_20", "ema_50", "macd", "macd_signal", "macd_hist", "rsi_14", "atr_14", "atr_ratio"]
+
+
+def missing(spark, p):
+    """NaN is NULL here."""
+    nums = ["Open", "High", "Low", "Close", "Volume"]
+    df = spark.createDataFrame(p)
+    return df.select("Date", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in nums], "Symbol")
+
+
+@pytest.mark.parametrize("n,hole", [(400, None), (9000, (1000, 8000)), (9000, (0, 8500))])
+def test_exponential_means_over_gaps(spark, n, hole):
+    """As pandas has it, also where whole strides hold no value."""
+    p = gappy(n)
+    if hole:
+        p.loc[hole[0] : hole[1], "Close"] = np.nan
+    df = missing(spark, p).withColumn("Date", F.to_date("Date"))
+    got = collected(add_indicators(df, [ind.ema(20), ind.ema(50), ind.macd(), ind.rsi(), ind.atr()]))
+    want = expected(p)[EWM]
+    assert want.notna().any().all() or hole
+    same(got, want)
+
+
+def test_exponential_means_over_gaps_in_blocks(spark):
+    """Blocks reach back over gaps as far as it takes."""
+    p = gappy(9000, 6, "min")
+    p.loc[3000:6000, "Close"] = np.nan
+    bars = missing(spark, p).withColumn("Date", F.col("Date").cast("timestamp_ntz"))
+    got = collected(add_indicators(bars, [ind.ema(20), ind.macd(), ind.rsi(), ind.atr()], block_rows=1500))
+    assert len(got) == len(p)
+    same(got, expected(p)[[c for c in EWM if c != "ema_50"]], rtol=1e-8, atol=1e-8)

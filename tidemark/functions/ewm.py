@@ -1,11 +1,15 @@
-"""Exponentially weighted mean as window expressions.
-
-The recurrence ``y[0] = x[0]``, ``y[k] = q*y[k-1] + a*x[k]`` with ``q = 1 - a``
-unrolls to ``y[k] = sum(c[i] * x[i] * q**(k-i))`` with ``c[0] = 1`` and ``c[i] = a``
-after that.  The sum is a running total of ``c[i] * x[i] * q**-i``, which would
-overflow on a long series, so it restarts every ``stride`` rows.  The stride is
-chosen so that ``q**stride`` is far below double precision: all that older rows
-contribute is the end value of the stride just before, decayed.
+"""Exponentially weighted mean as window expressions, gaps included.
+
+A value ``x`` that comes ``g`` rows after the one before turns the mean ``y`` into
+``A*y + B`` with ``A = q**g / (q**g + a)``, ``B = a*x / (q**g + a)`` and ``q = 1 - a``:
+the old mean keeps the weight it has left, and a row without a value changes nothing but
+that weight.  Without gaps this is ``q*y + a*x``.  The first value is taken as it is.
+
+Such affine steps are composed, not walked through.  With ``E``, the sum of ``-ln A``,
+a run of steps is ``exp(-E) * sum(B * exp(E))``, two running sums.  They restart every
+``stride`` rows, a number chosen so that ``exp(E)`` cannot overflow: over n rows the
+product of all ``A`` is at least ``q**n``, however the gaps lie.  The ends of earlier strides
+are affine steps themselves, thousands of rows each, and are composed in a row's value.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 
 # Decimal digits of head-room used out of the 308 a double offers.
 _SAFE_DIGITS = 260.0
+# A mean that keeps less than this of its weight is forgotten in double precision.
+_LEAST = 2.0**-80
 
 
 def alpha_for_span(span: float) -> float:
@@ -30,16 +36,16 @@ def safe_stride(alpha: float) -> int:
 
 
 def memory_rows(alpha: float) -> int:
-    """Rows after which an old value's weight drops below 2**-53."""
+    """Values after which an old one's weight drops below 2**-53; each keeps at most q of it."""
     return math.ceil(53 * math.log(2) / -math.log1p(-alpha))
 
 
 def choose_strides(alphas: Iterable[float]) -> dict[float, int]:
     """A stride per smoothing factor, shared as long as it fits.
 
-    A stride must be short enough not to overflow the fastest mean and long
-    enough to outlast the memory of the slowest; spans up to about sixteen times
-    apart fit one.
+    A stride must be short enough not to overflow the fastest mean and should
+    outlast the memory of the slowest, so that few strides are composed; spans up to
+    about sixteen times apart fit one.
     """
     out: dict[float, int] = {}
     current = None
@@ -50,39 +56,54 @@ def choose_strides(alphas: Iterable[float]) -> dict[float, int]:
     return out
 
 
-def _complete(source: str, prices: Iterable[str]) -> Column:
-    """``source``, or an error on a row without one of the prices it is made of."""
-    lacking = F.greatest(*[F.col(p).isNull() for p in prices], F.lit(False))
-    told = F.lit(f"an exponential mean needs {', '.join(prices)} in every row; drop or fill the others first")
-    return F.when(lacking, F.raise_error(told)).otherwise(F.col(source))
+def ewm_seen(source: str, series) -> dict[str, Column]:
+    """The last row before with a value, and the number of values so far."""
+    given = F.when(F.col(source).isNotNull(), F.col(series.ROW))
+    return {
+        f"__{source}_seen": F.last(given, ignorenulls=True).over(series.before),
+        f"__{source}_n": F.count(source).over(series.running),
+    }
 
 
-def ewm_total(source: str, alpha: float, lead: int, series, prices: Iterable[str] = ()) -> dict[str, Column]:
-    """Local mean within one stride, seeded at row ``lead``, the first with a value.
+def ewm_steps(source: str, alpha: float, series) -> dict[str, Column]:
+    """Every row's affine step, as ``-ln A`` and ``B``."""
+    x, seen = F.col(source), F.col(f"__{source}_seen")
+    g = F.col(series.ROW) - seen
+    left = F.pow(F.lit(1.0 - alpha), g)
+    kept = F.greatest(left / (left + alpha), F.lit(_LEAST))
+    decay = F.when(g == 1, F.lit(-math.log1p(-alpha))).otherwise(-F.ln(kept))
+    gain = F.when(seen.isNull(), x).when(g == 1, alpha * x).otherwise(alpha * x / (left + alpha))
+    return {
+        _part(source, alpha, "decay"): F.when(x.isNotNull() & seen.isNotNull(), decay).otherwise(0.0),
+        _part(source, alpha, "gain"): F.coalesce(gain, F.lit(0.0)),
+    }
 
-    A running sum would pass over a missing value without giving its weight to the
-    others, so a row that lacks one of ``prices`` is an error.
-    """
-    q, x = F.lit(1.0 - alpha), _complete(source, prices) if prices else F.col(source)
-    inside = F.col(series.inside(alpha))
-    weight = F.when(F.col(series.ROW) == lead, F.lit(1.0)).otherwise(alpha)
-    total = F.sum(weight * x * F.pow(q, -inside)).over(series.running_stride(alpha))
-    return {_part(source, alpha): F.pow(q, inside) * total}
 
+def ewm_exponent(source: str, alpha: float, series) -> dict[str, Column]:
+    return {_part(source, alpha, "e"): F.sum(_part(source, alpha, "decay")).over(series.running_stride(alpha))}
 
-def ewm_value(
-    name: str, source: str, alpha: float, min_periods: int, lead: int, series
-) -> dict[str, Column]:
-    """Finish the mean begun by ``ewm_total``; NULL before ``min_periods`` values.
 
-    The source has no NULL after row ``lead``: ``ewm_total`` raises on one.
-    """
-    part, row = F.col(_part(source, alpha)), F.col(series.ROW)
-    inside, stride = F.col(series.inside(alpha)), series.strides[alpha]
-    ends = F.last(F.when(inside == stride - 1, part), ignorenulls=True).over(series.before)
-    decayed = F.pow(F.lit(1.0 - alpha), inside + 1) * F.coalesce(ends, F.lit(0.0))
-    return {name: F.when(row - lead + 1 >= min_periods, part + decayed)}
+def ewm_total(source: str, alpha: float, series) -> dict[str, Column]:
+    """The mean over the row's own stride alone."""
+    e = F.col(_part(source, alpha, "e"))
+    total = F.sum(F.col(_part(source, alpha, "gain")) * F.exp(e)).over(series.running_stride(alpha))
+    return {_part(source, alpha, "own"): F.exp(-e) * total}
+
+
+def ewm_ends(source: str, alpha: float, series) -> dict[str, Column]:
+    """The steps that the strides before amount to."""
+    e, own = F.col(_part(source, alpha, "e")), F.col(_part(source, alpha, "own"))
+    last = F.col(series.inside(alpha)) == series.strides[alpha] - 1
+    step = F.when(last, F.struct(F.exp(-e).alias("kept"), own.alias("gain")))
+    return {_part(source, alpha, "ends"): F.collect_list(step).over(series.before)}
+
+
+def ewm_value(source: str, alpha: float, min_periods: int) -> Column:
+    """The mean; NULL before ``min_periods`` values, and what it was on rows without one."""
+    e, own, ends = (F.col(_part(source, alpha, p)) for p in ("e", "own", "ends"))
+    before = F.aggregate(ends, F.lit(0.0), lambda y, s: s["kept"] * y + s["gain"])
+    return F.when(F.col(f"__{source}_n") >= min_periods, F.when(F.size(ends) == 0, own).otherwise(own + F.exp(-e) * before))
 
 
-def _part(source: str, alpha: float) -> str:
-    return f"__{source}_ewm_{alpha!r}".replace(".", "_")
+def _part(source: str, alpha: float, part: str) -> str:
+    return f"__{source}_{part}_{alpha!r}".replace(".", "_")

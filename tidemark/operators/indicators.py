@@ -11,20 +11,31 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ewm import alpha_for_span, choose_strides, ewm_total, ewm_value, memory_rows
+from tidemark.functions.ewm import (
+    alpha_for_span,
+    choose_strides,
+    ewm_ends,
+    ewm_exponent,
+    ewm_seen,
+    ewm_steps,
+    ewm_total,
+    ewm_value,
+    memory_rows,
+)
 from tidemark.functions.numeric import ratio
 from tidemark.operators.series import Series, add_block_offsets, lay_out, row_number, stride_columns
 
 Stages = dict[int, dict[str, Column]]
 
 # A stage may use the columns of all earlier ones.  BASE holds window functions
-# over the given columns, DERIVED plain expressions, TOTALS running totals per
-# stride, RUNNING further window functions, VALUE plain expressions; a mean of a
-# mean goes through TOTALS and RUNNING a second time.
-BASE, DERIVED, TOTALS, RUNNING, VALUE, TOTALS_2, RUNNING_2, VALUE_2 = range(8)
+# over the given columns, DERIVED plain expressions, SEEN to RUNNING the parts of
+# exponential means and further window functions, VALUE plain expressions; a mean of a
+# mean goes through SEEN to VALUE a second time.
+FIRST = BASE, DERIVED, SEEN, STEPS, EXPONENT, TOTALS, RUNNING, VALUE = range(8)
+AGAIN = SEEN_2, STEPS_2, EXPONENT_2, TOTALS_2, RUNNING_2, VALUE_2 = range(8, 14)
 
 
 @dataclass(frozen=True)
@@ -34,6 +45,7 @@ class Indicator:
     stages: Callable[[Series], Stages]
     alphas: tuple[float, ...] = ()
     totals: tuple[str, ...] = ()
+    prices: tuple[str, ...] = ()  # whose gaps lengthen what an exponential mean looks back at
 
 
 def add_indicators(
@@ -45,8 +57,9 @@ def add_indicators(
         return df
     strides = choose_strides(a for i in chosen for a in i.alphas)
     reach = max(i.lookback for i in chosen)
-    series = lay_out(df, key, ts, lookback=reach, strides=strides, **layout)
-    stages: Stages = {n: {} for n in range(VALUE_2 + 1)}
+    prices = sorted({p for i in chosen for p in i.prices})
+    series = lay_out(df, key, ts, lookback=reach, strides=strides, sparse=prices, **layout)
+    stages: Stages = {n: {} for n in (*FIRST, *AGAIN)}
     for i in chosen:
         for n, columns in i.stages(series).items():
             stages[n].update(columns)
@@ -68,6 +81,16 @@ def _ewm_reach(*alphas: float) -> int:
     return sum(memory_rows(a) for a in alphas)
 
 
+def _ewm_parts(s: Series, means: Iterable[tuple[str, float]], first: int = SEEN) -> Stages:
+    """The stages, from ``first`` on, of exponential means of the given (source, factor)."""
+    stages: Stages = {first + n: {} for n in range(RUNNING - SEEN + 1)}
+    for source, a in means:
+        parts = (ewm_seen(source, s), *(part(source, a, s) for part in (ewm_steps, ewm_exponent, ewm_total, ewm_ends)))
+        for n, columns in enumerate(parts):
+            stages[first + n].update(columns)
+    return stages
+
+
 # Rolling statistics are named after what they hold, so recipes that need the
 # same one (a mean and the band around it, say) share a single window expression.
 
@@ -110,15 +133,14 @@ def ema(span: int = 20, price: str = "Close") -> Indicator:
     """Exponential mean with a = 2/(span+1), seeded by the first value."""
     name, a = f"ema_{span}", alpha_for_span(span)
     if span == 1:
-        return Indicator((name,), 1, lambda s: {DERIVED: {name: F.col(price)}})
+        last = lambda s: {BASE: {name: F.last(price, ignorenulls=True).over(s.base.rowsBetween(Window.unboundedPreceding, 0))}}
+        return Indicator((name,), 1, last, prices=(price,))
     return Indicator(
         (name,),
         _ewm_reach(a) + span,
-        lambda s: {
-            TOTALS: ewm_total(price, a, 0, s, (price,)),
-            RUNNING: ewm_value(name, price, a, span, 0, s),
-        },
+        lambda s: {**_ewm_parts(s, [(price, a)]), VALUE: {name: ewm_value(price, a, span)}},
         (a,),
+        prices=(price,),
     )
 
 
@@ -139,23 +161,19 @@ def price_vs_sma(n: int = 20, price: str = "Close") -> Indicator:
 def macd(fast: int = 12, slow: int = 26, signal: int = 9, price: str = "Close") -> Indicator:
     """Fast minus slow exponential mean, its own exponential mean, and their gap."""
     a_fast, a_slow, a_sig = (alpha_for_span(n) for n in (fast, slow, signal))
-    first = max(fast, slow) - 1
 
     def stages(s: Series) -> Stages:
+        line = ewm_value(price, a_fast, fast) - ewm_value(price, a_slow, slow)
+        smooth = ewm_value("macd", a_sig, signal)
         return {
-            TOTALS: {**ewm_total(price, a_fast, 0, s, (price,)), **ewm_total(price, a_slow, 0, s, (price,))},
-            RUNNING: {
-                **ewm_value("__macd_fast", price, a_fast, fast, 0, s),
-                **ewm_value("__macd_slow", price, a_slow, slow, 0, s),
-            },
-            VALUE: {"macd": F.col("__macd_fast") - F.col("__macd_slow")},
-            TOTALS_2: ewm_total("macd", a_sig, first, s),
-            RUNNING_2: ewm_value("macd_signal", "macd", a_sig, signal, first, s),
-            VALUE_2: {"macd_hist": F.col("macd") - F.col("macd_signal")},
+            **_ewm_parts(s, [(price, a_fast), (price, a_slow)]),
+            VALUE: {"macd": line},
+            **_ewm_parts(s, [("macd", a_sig)], SEEN_2),
+            VALUE_2: {"macd_signal": smooth, "macd_hist": F.col("macd") - smooth},
         }
 
     reach = _ewm_reach(a_slow, a_sig) + slow + signal
-    return Indicator(("macd", "macd_signal", "macd_hist"), reach, stages, (a_fast, a_slow, a_sig))
+    return Indicator(("macd", "macd_signal", "macd_hist"), reach, stages, (a_fast, a_slow, a_sig), prices=(price,))
 
 
 # --- momentum --------------------------------------------------------------
@@ -166,7 +184,7 @@ def rsi(n: int = 14, price: str = "Close") -> Indicator:
     name, a = f"rsi_{n}", 1.0 / n
 
     def stages(s: Series) -> Stages:
-        gain, loss = F.col(f"__mean_gain_{n}"), F.col(f"__mean_loss_{n}")
+        gain, loss = ewm_value("__gain", a, n), ewm_value("__loss", a, n)
         move = F.col(price) - F.col(f"__{price}_1_back")
         return {
             BASE: _prev(s, price),
@@ -174,19 +192,11 @@ def rsi(n: int = 14, price: str = "Close") -> Indicator:
                 "__gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))),
                 "__loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0))),
             },
-            TOTALS: {**ewm_total("__gain", a, 1, s, (price,)), **ewm_total("__loss", a, 1, s, (price,))},
-            RUNNING: {
-                **ewm_value(f"__mean_gain_{n}", "__gain", a, n, 1, s),
-                **ewm_value(f"__mean_loss_{n}", "__loss", a, n, 1, s),
-            },
-            VALUE: {
-                name: F.when(loss == 0, F.lit(100.0)).otherwise(
-                    100.0 - 100.0 / (1.0 + ratio(gain, loss))
-                )
-            },
+            **_ewm_parts(s, [("__gain", a), ("__loss", a)]),
+            VALUE: {name: F.when(loss == 0, F.lit(100.0)).otherwise(100.0 - 100.0 / (1.0 + ratio(gain, loss)))},
         }
 
-    return Indicator((name,), _ewm_reach(a) + n + 1, stages, (a,))
+    return Indicator((name,), _ewm_reach(a) + n + 1, stages, (a,), prices=(price,))
 
 
 def stochastic(k: int = 14, d: int = 3) -> Indicator:
@@ -224,15 +234,15 @@ def atr(n: int = 14) -> Indicator:
     name, a = f"atr_{n}", 1.0 / n
 
     def stages(s: Series) -> Stages:
+        mean = ewm_value("__range", a, n)
         return {
             BASE: _prev(s, "Close"),
             DERIVED: {"__range": _true_range()},
-            TOTALS: ewm_total("__range", a, 0, s, ("High", "Low", "Close")),
-            RUNNING: ewm_value(name, "__range", a, n, 0, s),
-            VALUE: {"atr_ratio": ratio(F.col(name), F.col("Close"))},
+            **_ewm_parts(s, [("__range", a)]),
+            VALUE: {name: mean, "atr_ratio": ratio(mean, F.col("Close"))},
         }
 
-    return Indicator((name, "atr_ratio"), _ewm_reach(a) + n + 1, stages, (a,))
+    return Indicator((name, "atr_ratio"), _ewm_reach(a) + n + 1, stages, (a,), prices=("High", "Low", "Close"))
 
 
 def bollinger(n: int = 20, k: float = 2.0, price: str = "Close") -> Indicator:

@@ -14,6 +14,7 @@ spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -115,16 +116,20 @@ def lay_out(
     lookahead: int = 0,
     strides: dict[float, int] | None = None,
     block_rows: int = BLOCK_ROWS,
+    sparse: Sequence[str] = (),
 ) -> Series:
     """Prepare ``df`` for window functions that reach ``lookback`` rows back and
     ``lookahead`` rows ahead.  ``strides`` are the sub-ranges the exponentially
-    weighted means need, by smoothing factor."""
+    weighted means need, by smoothing factor; those of ``sparse`` columns look back
+    over so many values instead of rows."""
     keys = series_keys(df, key)
     blocked = not is_calendar_bound(df, ts)
     parts, order = list(keys), ts
     if blocked:
         df = number_rows(df, keys, ts)
         pos = F.col(Series.POS)
+        if sparse:
+            lookback = reach_over_gaps(df, keys, lookback, sparse)
         first = F.greatest(F.lit(0), F.floor((pos - lookahead) / block_rows)).cast("long")
         last = F.floor((pos + lookback) / block_rows).cast("long")
         df = df.withColumn(Series.BLOCK, F.explode(F.sequence(first, last))).withColumn(
@@ -140,6 +145,26 @@ def lay_out(
     return Series(df, keys, window, by_stride, tuple(parts), order, strides, blocked)
 
 
+def reach_over_gaps(df: DataFrame, keys: tuple[str, ...], values: int, columns: Sequence[str]) -> int:
+    """Rows that hold at least ``values`` values of every column before any row, or all rows before it.
+
+    Numbered rows are counted in granules of twice as many rows.  Granules that hold
+    too few values and follow one another are passed over; the longest such run says
+    how far to reach.  One row per granule meets in a window.
+    """
+    granule = 2 * max(1, values)
+    # A change from the row before needs both, so a gap takes the value after it along.
+    full = reduce(and_, [F.col(c).isNotNull() for c in columns])
+    by = [F.col(k) for k in keys]
+    held = df.groupBy(*by, F.floor(F.col(Series.POS) / granule).alias("__g")).agg(
+        (F.count(F.lit(1)) - 2 * F.count_if(~full) >= values).alias("__dense")
+    )
+    before = Window.partitionBy(*by).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.col("__g") - 1 - F.coalesce(F.last(F.when(F.col("__dense"), F.col("__g")), ignorenulls=True).over(before), F.lit(-1))
+    longest = held.select(run.alias("__run")).agg(F.max("__run")).first()[0] or 0
+    return (longest + 2) * granule
+
+
 def row_number(series: Series) -> Column:
     """0-based row of the series (or of its block), as the base window sees it."""
     return F.row_number().over(series.base) - 1
