@@ -40,7 +40,7 @@ KIND[list(b" \t\n\x0b\x0c\r")] = 0
 KIND[97:123] = 1
 KIND[list(MARKS)] = 2
 LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def hashed(key: np.ndarray) -> np.ndarray:
@@ -131,9 +131,11 @@ class WordTokenizer:
     def entries(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(start, entry) of the words of a lower-cased text."""
         kind = KIND[np.frombuffer(text, np.uint8)]
-        before, after = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [0]])
-        starts = np.flatnonzero((kind != 0) & ((before == 0) | (before * kind == 2)))
-        size = np.flatnonzero((kind != 0) & ((after == 0) | (after * kind == 2))) + 1 - starts
+        # A word ends at white space (product 0) and between a letter and a mark (product 2).
+        edge = kind[1:] * kind[:-1]
+        edge = np.concatenate([[True], (edge == 0) | (edge == 2), [True]])
+        starts = np.flatnonzero((kind != 0) & edge[:-1])
+        size = np.flatnonzero((kind != 0) & edge[1:]) + 1 - starts
         padded = np.frombuffer(text + bytes(SHORT), np.uint8)
         words = np.ndarray(len(text) + SHORT - 7, "<u8", padded, strides=(1,))
         short = np.flatnonzero(size <= SHORT)
