@@ -115,6 +115,41 @@ def _ewm(x: str, a: float, n: int, lead: int, part: str) -> str:
     )
 
 
+GAPPY = BARS + """,
+gappy AS (
+  SELECT Symbol, Date, Open,
+         CASE WHEN dayofyear(Date) % 11 <> 5 THEN High END AS High,
+         CASE WHEN dayofyear(Date) % 13 <> 6 THEN Low END AS Low,
+         CASE WHEN NOT (Date < DATE '1995-02-15' OR dayofyear(Date) % 7 = 3 OR month(Date) = 6) THEN Close END AS Close, Volume
+  FROM bars)"""
+
+OPEN_PREDICTIONS = PREDICTIONS + """,
+open_predictions AS (
+  SELECT model, Symbol, Date, CASE WHEN day(Date) = 9 THEN 3 WHEN day(Date) <> 17 THEN actual END AS actual,
+         CASE WHEN day(Date) = 21 THEN 7 WHEN day(Date) <> 25 AND day(Date) <> 17 THEN prediction END AS prediction
+  FROM predictions)"""
+
+
+def gap_means(source: str, out: str, means: dict[str, tuple[str, float, int]]) -> str:
+    """CTE ``out``: ``source`` (with rn) and exponential means {name: (column, factor, least values)} over gaps."""
+    w = "OVER (PARTITION BY Symbol ORDER BY Date)"
+    before = "OVER (PARTITION BY Symbol ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    seen, steps, sums, last = [], [], [], []
+    for k, (x, a, n) in means.items():
+        left = f"pow({1.0 - a!r}E0, rn - seen_{k})"
+        new = f"{x} IS NULL OR seen_{k} IS NULL"
+        seen.append(f"last_value(CASE WHEN {x} IS NOT NULL THEN rn END IGNORE NULLS) {before} AS seen_{k}")
+        steps.append(f"CASE WHEN {new} THEN 0E0 ELSE -ln({left} / ({left} + {a!r}E0)) END AS e_{k}")
+        steps.append(f"CASE WHEN {x} IS NULL THEN 0E0 WHEN seen_{k} IS NULL THEN {x} ELSE {a!r}E0 * {x} / ({left} + {a!r}E0) END AS b_{k}")
+        sums.append(f"sum(e_{k}) {w} AS s_{k}")
+        last.append(f"CASE WHEN count({x}) {w} >= {n} THEN exp(-s_{k}) * sum(b_{k} * exp(s_{k})) {w} END AS {k}")
+    return f"""
+{out}_1 AS (SELECT *, {', '.join(seen)} FROM {source}),
+{out}_2 AS (SELECT *, {', '.join(steps)} FROM {out}_1),
+{out}_3 AS (SELECT *, {', '.join(sums)} FROM {out}_2),
+{out} AS (SELECT *, {', '.join(last)} FROM {out}_3)"""
+
+
 def indicator_sql(source: str, part: str) -> str:
     """CTEs ``ind`` with every default indicator of ``source``, per series ``part``."""
 

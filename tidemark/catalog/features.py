@@ -9,9 +9,11 @@ from tidemark.catalog.base import (
     BARS,
     FEATURE_SQL,
     FEATURES,
+    GAPPY,
     SPLIT,
     TABLE_SQL,
     TARGETS,
+    gap_means,
     indicator_sql,
     query,
     r,
@@ -67,6 +69,58 @@ indicator("rolling_volatility", ind.rolling_volatility(), digits=6)
 indicator("lagged_returns", ind.lagged_returns(), digits=6)
 
 
+_GAPS = f"""WITH {GAPPY},
+g0 AS (
+  SELECT *, row_number() OVER (PARTITION BY Symbol ORDER BY Date) - 1 AS rn, lag(Close) OVER (PARTITION BY Symbol ORDER BY Date) AS c1 FROM gappy),
+g AS (
+  SELECT *, greatest(Close - c1, CASE WHEN Close - c1 IS NOT NULL THEN 0E0 END) AS gain,
+         greatest(c1 - Close, CASE WHEN Close - c1 IS NOT NULL THEN 0E0 END) AS loss,
+         greatest(High - Low, abs(High - c1), abs(Low - c1)) AS true_range FROM g0),"""
+
+
+def over_gaps(name: str, ctes: str, values: dict[str, str], *recipes):
+    """A query of exponential means over bars with gaps."""
+
+    def run(spark, sf):
+        out = add_indicators(fx.gappy_bars(spark, sf), recipes)
+        return rounded(out.select("Symbol", "Date", *values), DIGITS)
+
+    columns = ", ".join(f"{r(v, DIGITS)} AS {k}" for k, v in values.items())
+    query(name, f"{_GAPS}{ctes} SELECT Symbol, Date, {columns} FROM y")(run)
+
+
+def _span(n: int) -> float:
+    return 2.0 / (n + 1.0)
+
+
+over_gaps(
+    "ema_gaps",
+    gap_means("g", "y", {"ema_20": ("Close", _span(20), 20), "ema_50": ("Close", _span(50), 50)}),
+    {"ema_20": "ema_20", "ema_50": "ema_50"},
+    ind.ema(20), ind.ema(50),
+)
+over_gaps(
+    "macd_gaps",
+    gap_means("g", "m", {"fast": ("Close", _span(12), 12), "slow": ("Close", _span(26), 26)})
+    + ", m2 AS (SELECT *, fast - slow AS macd FROM m),"
+    + gap_means("m2", "y", {"macd_signal": ("macd", _span(9), 9)}),
+    {"macd": "macd", "macd_signal": "macd_signal", "macd_hist": "macd - macd_signal"},
+    ind.macd(),
+)
+over_gaps(
+    "rsi_gaps",
+    gap_means("g", "y", {"up": ("gain", 1 / 14, 14), "down": ("loss", 1 / 14, 14)}),
+    {"rsi_14": "CASE WHEN down = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / nullif(down, 0)) END"},
+    ind.rsi(14),
+)
+over_gaps(
+    "atr_gaps",
+    gap_means("g", "y", {"atr_14": ("true_range", 1 / 14, 14)}),
+    {"atr_14": "atr_14", "atr_ratio": "atr_14 / nullif(Close, 0)"},
+    ind.atr(14),
+)
+
+
 @query(
     "log_returns",
     f"WITH {BARS} SELECT Symbol, Date, "

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
-from tidemark.catalog.base import PREDICTIONS, TABLE_SQL, query, r, rounded, sql_rounded
+from tidemark.catalog.base import OPEN_PREDICTIONS, PREDICTIONS, TABLE_SQL, query, r, rounded, sql_rounded
 from tidemark.catalog.features import table
+from tidemark.operators import labels as lb
 from tidemark.operators import metrics as m
 from tidemark.operators.stats import paired_bootstrap
 from tidemark.sources.sinks import read_metrics
@@ -186,3 +187,51 @@ SELECT model_a, model_b, """ + ", ".join(
 @query("paired_bootstrap", _BOOT)
 def bootstrap(spark, sf):
     return paired_bootstrap(fx.predictions(spark, sf), _MODELS, sample_size=_N, replicates=_B)
+
+
+_OPEN = f"""WITH {OPEN_PREDICTIONS},
+lab AS (
+  SELECT model, label, CAST(sum(s) AS BIGINT) AS support, CAST(sum(d) AS BIGINT) AS predicted, CAST(sum(h) AS BIGINT) AS hit FROM (
+    SELECT model, actual AS label, 1 AS s, 0 AS d, CASE WHEN actual IS NOT DISTINCT FROM prediction THEN 1 ELSE 0 END AS h FROM open_predictions
+    UNION ALL SELECT model, prediction, 0, 1, 0 FROM open_predictions)
+  GROUP BY model, label),
+sc AS (
+  SELECT *, coalesce(hit * 1.0E0 / nullif(predicted, 0), 0) AS precision, coalesce(hit * 1.0E0 / nullif(support, 0), 0) AS recall,
+         coalesce(hit * 2.0E0 / nullif(support + predicted, 0), 0) AS f1 FROM lab),
+o AS (
+  SELECT model, CAST(sum(support) AS BIGINT) AS n, sum(hit) * 1.0E0 / sum(support) AS accuracy,
+         sum(CASE WHEN support > 0 THEN recall ELSE 0E0 END) / count_if(support > 0) AS balanced_accuracy,
+         avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1,
+         sum(precision * support) / sum(support) AS weighted_precision, sum(recall * support) / sum(support) AS weighted_recall,
+         sum(f1 * support) / sum(support) AS weighted_f1,
+         (sum(hit) * 1.0E0 * sum(support) - sum(support * 1.0E0 * predicted))
+         / nullif(sqrt(pow(sum(support), 2) - sum(pow(predicted, 2))) * sqrt(pow(sum(support), 2) - sum(pow(support, 2))), 0) AS m
+  FROM sc GROUP BY model),
+om AS (SELECT *, coalesce(m, 0) AS mcc FROM o)"""
+
+
+@query("metrics_open_labels", f"{_OPEN} SELECT model, n, {sql_rounded(m.METRICS)} FROM om")
+def metrics_open_labels(spark, sf):
+    """Metrics where a fourth label, a fifth among the predictions, and missing labels occur."""
+    return rounded(m.classifier_metrics(fx.open_predictions(spark, sf)))
+
+
+@query(
+    "report_open_labels",
+    f"{_OPEN} SELECT model, coalesce(CAST(label AS VARCHAR), 'missing') AS class, {r('precision')} AS precision, "
+    f"{r('recall')} AS recall, {r('f1')} AS f1_score, support FROM sc"
+    + "".join(
+        f" UNION ALL SELECT model, '{k} avg', {r(f'{k}_precision')}, {r(f'{k}_recall')}, {r(f'{k}_f1')}, n FROM om"
+        for k in ("macro", "weighted")
+    ),
+)
+def report_open_labels(spark, sf):
+    return rounded(lb.open_report(fx.open_predictions(spark, sf), ("model",)))
+
+
+@query(
+    "confusion_open_labels",
+    f"WITH {OPEN_PREDICTIONS} SELECT model, actual, prediction, count(*) AS n FROM open_predictions GROUP BY ALL",
+)
+def confusion_open_labels(spark, sf):
+    return lb.label_cells(fx.open_predictions(spark, sf), ("model",))

@@ -76,6 +76,30 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gappy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that lack closes at the start, one day a week and all June, and some highs and lows."""
+    day = F.dayofyear("Date")
+    early = F.col("Date") < F.lit("1995-02-15").cast("date")
+    return bars(spark, sf_dir).withColumns(
+        {
+            "Close": F.when(~(early | (day % 7 == 3) | (F.month("Date") == 6)), F.col("Close")),
+            "High": F.when(day % 11 != 5, F.col("High")),
+            "Low": F.when(day % 13 != 6, F.col("Low")),
+        }
+    )
+
+
+def open_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions with a fourth label, and labels missing on either side."""
+    day = F.dayofmonth("Date")
+    return predictions(spark, sf_dir).withColumns(
+        {
+            "actual": F.when(day == 9, F.lit(3)).when(day != 17, F.col("actual")),
+            "prediction": F.when(day == 21, F.lit(7)).when((day != 25) & (day != 17), F.col("prediction")),
+        }
+    )
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rule-based models scored on every observable bar."""
     from tidemark.operators.indicators import add_indicators, lagged_returns

@@ -6,7 +6,8 @@ the old mean keeps the weight it has left, and a row without a value changes not
 that weight.  Without gaps this is ``q*y + a*x``.  The first value is taken as it is.
 
 Such affine steps are composed, not walked through.  With ``E``, the sum of ``-ln A``,
-a run of steps is ``exp(-E) * sum(B * exp(E))``, two running sums.  They restart every
+a run of steps is ``exp(-E) * sum(B * exp(E))``, two running sums.  Steps without a gap
+are counted apart, as whole powers of q, which keeps their rounding out.  The sums restart every
 ``stride`` rows, a number chosen so that ``exp(E)`` cannot overflow: over n rows the
 product of all ``A`` is at least ``q**n``, however the gaps lie.  The ends of earlier strides
 are affine steps themselves, thousands of rows each, and are composed in a row's value.
@@ -66,43 +67,52 @@ def ewm_seen(source: str, series) -> dict[str, Column]:
 
 
 def ewm_steps(source: str, alpha: float, series) -> dict[str, Column]:
-    """Every row's affine step, as ``-ln A`` and ``B``."""
+    """Every row's affine step: whether it is one without a gap, else its ``-ln A``, and its ``B``."""
     x, seen = F.col(source), F.col(f"__{source}_seen")
     g = F.col(series.ROW) - seen
     left = F.pow(F.lit(1.0 - alpha), g)
     kept = F.greatest(left / (left + alpha), F.lit(_LEAST))
-    decay = F.when(g == 1, F.lit(-math.log1p(-alpha))).otherwise(-F.ln(kept))
     gain = F.when(seen.isNull(), x).when(g == 1, alpha * x).otherwise(alpha * x / (left + alpha))
     return {
-        _part(source, alpha, "decay"): F.when(x.isNotNull() & seen.isNotNull(), decay).otherwise(0.0),
+        f"__{source}_unit": F.when(x.isNotNull() & (g == 1), 1).otherwise(0),
+        _part(source, alpha, "decay"): F.when(x.isNotNull() & (g > 1), -F.ln(kept)).otherwise(0.0),
         _part(source, alpha, "gain"): F.coalesce(gain, F.lit(0.0)),
     }
 
 
 def ewm_exponent(source: str, alpha: float, series) -> dict[str, Column]:
-    return {_part(source, alpha, "e"): F.sum(_part(source, alpha, "decay")).over(series.running_stride(alpha))}
+    window = series.running_stride(alpha)
+    return {
+        _part(source, alpha, "units"): F.sum(f"__{source}_unit").over(window),
+        _part(source, alpha, "e"): F.sum(_part(source, alpha, "decay")).over(window),
+    }
+
+
+def _scale(source: str, alpha: float, sign: int) -> Column:
+    """exp(sign * E)."""
+    units, e = F.col(_part(source, alpha, "units")), F.col(_part(source, alpha, "e"))
+    return F.pow(F.lit(1.0 - alpha), -sign * units) * F.exp(sign * e)
 
 
 def ewm_total(source: str, alpha: float, series) -> dict[str, Column]:
     """The mean over the row's own stride alone."""
-    e = F.col(_part(source, alpha, "e"))
-    total = F.sum(F.col(_part(source, alpha, "gain")) * F.exp(e)).over(series.running_stride(alpha))
-    return {_part(source, alpha, "own"): F.exp(-e) * total}
+    total = F.sum(F.col(_part(source, alpha, "gain")) * _scale(source, alpha, 1)).over(series.running_stride(alpha))
+    return {_part(source, alpha, "own"): _scale(source, alpha, -1) * total}
 
 
 def ewm_ends(source: str, alpha: float, series) -> dict[str, Column]:
     """The steps that the strides before amount to."""
-    e, own = F.col(_part(source, alpha, "e")), F.col(_part(source, alpha, "own"))
     last = F.col(series.inside(alpha)) == series.strides[alpha] - 1
-    step = F.when(last, F.struct(F.exp(-e).alias("kept"), own.alias("gain")))
+    own = F.col(_part(source, alpha, "own"))
+    step = F.when(last, F.struct(_scale(source, alpha, -1).alias("kept"), own.alias("gain")))
     return {_part(source, alpha, "ends"): F.collect_list(step).over(series.before)}
 
 
 def ewm_value(source: str, alpha: float, min_periods: int) -> Column:
     """The mean; NULL before ``min_periods`` values, and what it was on rows without one."""
-    e, own, ends = (F.col(_part(source, alpha, p)) for p in ("e", "own", "ends"))
+    own, ends = (F.col(_part(source, alpha, p)) for p in ("own", "ends"))
     before = F.aggregate(ends, F.lit(0.0), lambda y, s: s["kept"] * y + s["gain"])
-    return F.when(F.col(f"__{source}_n") >= min_periods, F.when(F.size(ends) == 0, own).otherwise(own + F.exp(-e) * before))
+    return F.when(F.col(f"__{source}_n") >= min_periods, F.when(F.size(ends) == 0, own).otherwise(own + _scale(source, alpha, -1) * before))
 
 
 def _part(source: str, alpha: float, part: str) -> str:

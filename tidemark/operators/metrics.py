@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import or_zero, ratio
+from tidemark.operators.labels import open_metrics
 
 CLASSES = (0, 1, 2)
 METRICS = (
@@ -113,9 +114,15 @@ def metrics_from_cells(cells: DataFrame, by: Sequence[str] = (), labels: Sequenc
     )
 
 
-def classifier_metrics(df: DataFrame, by: Sequence[str] = ("model",), **kw) -> DataFrame:
-    """Accuracy, balanced accuracy, macro and weighted scores and MCC per group."""
-    return metrics_from_cells(confusion_cells(df, by, **kw), by, kw.get("labels", CLASSES))
+def classifier_metrics(df: DataFrame, by: Sequence[str] = ("model",), labels: Sequence[int] | None = None, **kw) -> DataFrame:
+    """Accuracy, balanced accuracy, macro and weighted scores and MCC per group.
+
+    Every label that occurs is a class, and every row counts; with ``labels`` only
+    rows count whose labels are among them.
+    """
+    if labels is None:
+        return open_metrics(df, by, **kw)
+    return metrics_from_cells(confusion_cells(df, by, labels=labels, **kw), by, labels)
 
 
 def per_ticker_metrics(df: DataFrame, by: Sequence[str] = ("model", "Symbol"), **kw) -> DataFrame:
