@@ -112,9 +112,12 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def store_chunks(df: DataFrame, text: str, id: str, chunks: int) -> DataFrame:
-    """(chunk, id, text), each chunk a range of ids in a bucket file of its own."""
+    """(chunk, id, own, none, text), each chunk a range of ids in a bucket file of its own."""
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    key = F.col(f"`{id}`")
+    # A filled id and a mark: pandas would make doubles of long ids beside nulls.
+    filled = F.coalesce(key, F.lit(0).cast(df.schema[id].dataType))
+    rows = df.select(key.alias("id"), filled.alias("own"), key.isNull().alias("none"), F.col(f"`{text}`").cast("string").alias("text"))
     ranged = rows.repartitionByRange(chunks, "id").withColumn("chunk", F.spark_partition_id())
     path = fresh_path(spark, "chunks")
     name = "chunks_" + path.rsplit("-", 1)[-1]
@@ -123,19 +126,18 @@ def store_chunks(df: DataFrame, text: str, id: str, chunks: int) -> DataFrame:
     return spark.table(name)
 
 
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list]]:
-    """Whole chunks (chunk, ids, texts) of a partition whose rows are sorted by chunk."""
-    chunk, ids, texts = None, [], []
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
+    """Whole chunks (chunk, texts) of a partition whose rows are sorted by chunk."""
+    chunk, texts = None, []
     for pdf in batches:
         for c, part in pdf.groupby("chunk", sort=False):
-            if c != chunk and ids:
-                yield chunk, ids, texts
-                ids, texts = [], []
+            if c != chunk and texts:
+                yield chunk, texts
+                texts = []
             chunk = c
-            ids.extend(part["id"].tolist())
             texts.extend(part["text"].tolist())
-    if ids:
-        yield chunk, ids, texts
+    if texts:
+        yield chunk, texts
 
 
 def prefix_levels(stored_chunks: DataFrame, groups: int) -> np.ndarray:
@@ -173,7 +175,7 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
     levels = prefix_levels(table, groups)
 
     def hand_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, _, texts in _gathered(batches):
+        for chunk, texts in _gathered(batches):
             group, suffix, _ = _suffixes(word_hashes(texts), levels, groups)
             order = np.lexsort([suffix, group])
             group, suffix = group[order], suffix[order]
@@ -197,14 +199,14 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
         bits = [zlib.compress(np.packbits(x).tobytes(), 1) for x in np.split(later, ends[:-1])]
         return pd.DataFrame({"g": pdf["g"], "chunk": pdf["chunk"], "bits": bits})
 
-    sorted_rows = table.select("chunk", "id", "text").sortWithinPartitions("chunk")
+    sorted_rows = table.select("chunk", "text").sortWithinPartitions("chunk")
     handed = sorted_rows.mapInPandas(hand_in, "g int, chunk int, suffixes binary")
     answers = handed.groupBy("g").applyInPandas(answer, "g int, chunk int, bits binary")
 
     kind = df.schema[id].dataType.simpleString()
 
     def finish(key: tuple, rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", na_position="first", kind="stable")
+        rows = rows.sort_values(["none", "own"], ascending=[False, True], kind="stable")
         texts = rows["text"].tolist()
         words = word_hashes(texts)
         group, suffix, doc = _suffixes(words, levels, groups)
@@ -219,14 +221,14 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
         run = np.cumsum(new) - 1
         earlier = np.concatenate(later).astype(bool)[run] if len(g) else new
         # Documents of the chunk in order of id; rows that share an id count as one.
-        same = rows["id"].fillna(-1).to_numpy() if len(rows) else np.zeros(0)
-        null = rows["id"].isna().to_numpy()
+        same, null = rows["own"].to_numpy(), rows["none"].to_numpy()
         rank = np.cumsum(np.concatenate([[0], (same[1:] != same[:-1]) | (null[1:] != null[:-1])])) if len(rows) else same
         rank = rank.astype(np.int64)
         repeated = np.zeros(len(g), bool)
         repeated[order] = earlier | (rank[d] > rank[d[new]][run]) if len(g) else earlier
+        ids = [None if n else k for k, n in zip(same.tolist(), null.tolist())]
         out, at = [], 0
-        for key_, t, h in zip(rows["id"].tolist(), texts, words):
+        for key_, t, h in zip(ids, texts, words):
             m = max(len(h) - WINDOW + 1, 0)
             starts = np.flatnonzero(repeated[at : at + m])
             at += m
@@ -238,13 +240,13 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
             edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
             kept = b" ".join([x for x, no in zip(w, gone.tolist()) if not no]).decode()
-            out.append((None if key_ != key_ or key_ is None else key_, len(h), int(gone.sum()), kept, spans))
+            out.append((key_, len(h), int(gone.sum()), kept, spans))
         result = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept", "removed"])
-        result["id"] = result["id"].astype(object)
+        result["id"] = pd.Series([x[0] for x in out], dtype=object)
         return result
 
     schema = f"id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
-    done = table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
+    done = table.drop("id").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
     return done.withColumnRenamed("id", id)
 
 

@@ -29,6 +29,7 @@ INDEX = (
     "urlkey string, captured string, id long, url string, payload_bytes long, payload_digest string, "
     "record_type string, refers_to long, file string, at long"
 )
+TEXT_INDEX = INDEX.replace(", id long", ", id string").replace("refers_to long", "refers_to string")
 
 
 def capture_records(df: DataFrame, url: str = "url", html: str = "html", id: str = "page_id") -> DataFrame:
@@ -49,7 +50,7 @@ def capture_records(df: DataFrame, url: str = "url", html: str = "html", id: str
     clean = F.regexp_replace("url", r"[\r\n]", "")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     capture = lambda n: F.concat(F.lit("<urn:capture:"), F.coalesce(n.cast("string"), F.lit("none")), F.lit(">"))
-    at = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.date_format(F.timestamp_seconds(F.lit(EPOCH)), "yyyy-MM-dd'T'HH:mm:ss'Z'")  # pages have no time of their own
     revisit = F.concat(
         line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         line("WARC-Refers-To", capture(F.col("first"))),
@@ -101,9 +102,14 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         at = end + 4 + len(block) + 4
 
 
-def _number(urn: str) -> int | None:
+def _number(urn: str) -> str | None:
+    """The id in a record's name, as text: pandas would make doubles of long ids beside nulls."""
     name = urn.rsplit(":", 1)[1].rstrip(">")
-    return None if name == "none" else int(name)
+    return None if name == "none" else name
+
+
+def _as_long(index: DataFrame) -> DataFrame:
+    return index.withColumns({c: F.col(c).cast("long") for c in ("id", "refers_to")})
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -126,16 +132,15 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                          h["WARC-Type"], _number(h["WARC-Refers-To"]) if revisit else None, name.rsplit("/", 1)[-1], at)
                     )
                 rows.sort(key=_order)
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
-                yield out.astype({"id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInPandas(captures, INDEX)
+    return _as_long(files.mapInPandas(captures, TEXT_INDEX))
 
 
 def _order(row) -> tuple:
-    missing = row[2] is None or row[2] is pd.NA
-    return row[0], row[1], missing, 0 if missing else row[2], row[8], row[9]
+    missing = row[2] is None
+    return row[0], row[1], missing, 0 if missing else int(row[2]), row[8], row[9]
 
 
 def loser_tree_merge(runs: list[list[tuple]], key=_order) -> Iterator[tuple]:
@@ -177,7 +182,6 @@ def merged_index(captures: DataFrame) -> DataFrame:
         columns = None
         for pdf in batches:
             columns = pdf.columns
-            pdf = pdf.astype({"id": "Int64", "refers_to": "Int64"})
             for row in pdf.itertuples(index=False, name=None):
                 runs.setdefault(row[8], []).append(row)
         if columns is None:
@@ -186,15 +190,17 @@ def merged_index(captures: DataFrame) -> DataFrame:
         for row in loser_tree_merge([*runs.values()]):
             block.append(row)
             if len(block) == 10_000:
-                yield pd.DataFrame(block, columns=columns).astype({"id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(block, columns=columns)
                 block = []
         if block:
-            yield pd.DataFrame(block, columns=columns).astype({"id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(block, columns=columns)
 
     n = partitions(captures.sparkSession)
     late = F.col("id").isNull()
     ranged = captures.repartitionByRange(n, "urlkey", "captured", late, "id", "file")
-    return ranged.sortWithinPartitions("file", "urlkey", "captured", late, "id", "at").mapInPandas(merge, INDEX)
+    runs = ranged.sortWithinPartitions("file", "urlkey", "captured", late, "id", "at")
+    text = runs.withColumns({c: F.col(c).cast("string") for c in ("id", "refers_to")})
+    return _as_long(text.mapInPandas(merge, TEXT_INDEX))
 
 
 def archive_and_index(df: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
