@@ -10,6 +10,7 @@ from tidemark.catalog.features import features, table
 from tidemark.operators import explain as ex
 from tidemark.operators.models import evaluate, train, train_eval
 from tidemark.operators.stats import seeded_sample
+from tidemark.operators.trees import Leaves, forest_leaves, tree_attributions
 from tidemark.plans.modelling import explain_model, faithfulness_table, first_rows
 from tidemark.sources.storage import fresh_path, stored
 
@@ -205,3 +206,51 @@ def explained_rows(spark, sf):
     return first_rows(rows, 100).select("Symbol", "Date", F.lit("first").alias("how")).unionByName(
         seeded_sample(rows, ("Symbol", "Date"), 100).select("Symbol", "Date", F.lit("hash").alias("how"))
     )
+
+
+# A planted tree over two features, one of them asked twice on a path.
+_INF = float("inf")
+PLANTED = Leaves.of(
+    [
+        ({0: (-_INF, 0.0, 0.4), 1: (-_INF, 40.0, 0.25)}, [0.8]),
+        ({0: (-_INF, 0.0, 0.4), 1: (40.0, _INF, 0.75)}, [0.3]),
+        ({0: (0.0, 0.02, 0.3)}, [0.5]),
+        ({0: (0.02, _INF, 0.3), 1: (-_INF, 60.0, 0.7)}, [0.2]),
+        ({0: (0.02, _INF, 0.3), 1: (60.0, _INF, 0.3)}, [0.9]),
+    ]
+)
+_TREE = f"""WITH {FEATURE_SQL},
+v AS (
+  SELECT split, Symbol, Date, return_1d AS x, rsi_14 AS y,
+         CASE WHEN return_1d <= 0 THEN CASE WHEN rsi_14 <= 40 THEN 0.8E0 ELSE 0.3E0 END
+              WHEN return_1d <= 0.02 THEN 0.5E0 WHEN rsi_14 <= 60 THEN 0.2E0 ELSE 0.9E0 END AS v12,
+         CASE WHEN return_1d <= 0 THEN 0.25E0 * 0.8E0 + 0.75E0 * 0.3E0
+              WHEN return_1d <= 0.02 THEN 0.5E0 ELSE 0.7E0 * 0.2E0 + 0.3E0 * 0.9E0 END AS v1,
+         0.4E0 * CASE WHEN rsi_14 <= 40 THEN 0.8E0 ELSE 0.3E0 END + 0.3E0 * 0.5E0
+         + 0.3E0 * CASE WHEN rsi_14 <= 60 THEN 0.2E0 ELSE 0.9E0 END AS v2,
+         0.4E0 * (0.25E0 * 0.8E0 + 0.75E0 * 0.3E0) + 0.3E0 * 0.5E0 + 0.3E0 * (0.7E0 * 0.2E0 + 0.3E0 * 0.9E0) AS v0
+  FROM feat)
+SELECT split, Symbol, Date, 'return_1d' AS feature, 0 AS class, {r('x')} AS raw_value, {r('(v1 - v0 + v12 - v2) / 2', 9)} AS attribution FROM v
+UNION ALL
+SELECT split, Symbol, Date, 'rsi_14', 0, {r('y', 4)}, {r('(v2 - v0 + v12 - v1) / 2', 9)} FROM v"""
+
+
+@query("tree_attributions", _TREE)
+def planted_attributions(spark, sf):
+    """Every row's exact attributions under a planted tree, against its four conditional scores."""
+    out = tree_attributions(features(spark, sf), [PLANTED], ["return_1d", "rsi_14"], ["split", "Symbol", "Date"])
+    digits = F.when(F.col("feature") == "rsi_14", 1e4).otherwise(1e6)
+    return out.withColumns(
+        {
+            "raw_value": F.floor(F.col("raw_value") * digits + 0.5) / digits,
+            "attribution": F.floor(F.col("attribution") * 1e9 + 0.5) / 1e9,
+        }
+    )
+
+
+@query("forest_attributions")
+def forest_attributions(spark, sf):
+    """Exact attributions of every test row under a fitted forest."""
+    df = training_table(spark, sf)
+    leaves = forest_leaves(fitted(df, "random_forest"))
+    return tree_attributions(df.where("split = 'test'"), leaves, FEATURES, ["Symbol", "Date"])
