@@ -100,12 +100,18 @@ def feature_table(bars: DataFrame, config: FeatureConfig = FeatureConfig(), **kw
     return regression_targets(out, config.return_horizons, **kw)
 
 
-def checked_feature_table(bars: DataFrame, config: FeatureConfig = FeatureConfig(), **kw) -> DataFrame:
-    """The feature table, or ``LeakageError``; store the result, the checks read it too."""
+def checked_feature_table(
+    bars: DataFrame, config: FeatureConfig = FeatureConfig(), order: str | None = None, **kw
+) -> DataFrame:
+    """The feature table, or ``LeakageError``; the checks read the stored table.
+
+    ``order`` names the bars' arrival number; with it rows that arrived out of date
+    order are an error too.
+    """
     from tidemark.sources.storage import stored
 
     table = stored(feature_table(bars, config, **kw), "features")
-    verify_no_leakage(table, config.columns(), config.target_columns(), **kw)
+    verify_no_leakage(table, config.columns(), config.target_columns(), order, **kw)
     return table
 
 
