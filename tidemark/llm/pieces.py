@@ -57,17 +57,29 @@ class PieceCodec:
         self.begin = np.cumsum(self.size) - self.size
         self.utf8 = np.frombuffer(b"".join(own), np.uint8)
         self.longest = max(map(len, self.rank))
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
         self.joined = sorted(p for p in self.rank if len(p) > 1)
         self.joined_low = np.array(self.joined, f"<U{self.longest + 1}")
         self.joined_high = np.array([p + "\U0010ffff" for p in self.joined], f"<U{self.longest + 1}")
         self.joined_rank = np.array([self.rank[p] for p in self.joined])
+        self.joined_id = np.array([self.id[p] for p in self.joined], np.int32)
         self.joined_size = np.array([len(p) for p in self.joined])
-        self.cached, self.known = cached, {}
+        self.cached = cached
+        self.forget()
 
-    def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, rank) of every occurrence of a piece of two characters or more, by place.
+    def forget(self) -> None:
+        """Start the memory of segments over: their numbers, and their ids end to end."""
+        self.known: dict[str, int] = {}
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
 
-        A place is start * 32 + length; no piece is longer than 31.
+    def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, rank, id) of every occurrence of a piece of two characters or more, by place.
+
+        A place is start * (longest + 1) + length.
         """
         width = self.longest
         padded = np.concatenate([code, np.zeros(width, "<u4")])
@@ -79,73 +91,82 @@ class PieceCodec:
         count = np.searchsorted(arranged, self.joined_high, "right") - low
         which = np.repeat(np.arange(len(count)), count)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        places = order[low[which] + inside] * 32 + self.joined_size[which]
+        places = order[low[which] + inside] * (width + 1) + self.joined_size[which]
         by_place = np.argsort(places)
-        return places[by_place], self.joined_rank[which][by_place]
+        which = which[by_place]
+        return places[by_place], self.joined_rank[which], self.joined_id[which]
 
     def learn(self, segments: list[str]) -> None:
         """Ids of new segments, all relaxed at once: in each round every segment joins
-        the two neighbouring symbols under its best-ranked edge, the leftmost of equals."""
-        if len(self.known) + len(segments) > self.cached:
-            self.known.clear()
-        whole = "\0".join(segments) + "\0"
-        code = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-        places, ranks = self.edges(code)
+        the two neighbouring symbols under its best-ranked edge, the leftmost of equals.
+        Only the pairs beside a join are looked up again."""
+        code = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le"), "<u4")
+        places, ranks, ids = self.edges(code)
         none = len(self.pieces) + 1
-        sizes = np.array([len(s) for s in segments])
-        owner = np.repeat(np.arange(len(segments)), sizes)
+        owner = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
         start = np.arange(len(owner)) + owner
-        end = start + 1
-        settled: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        end, symbol = start + 1, self.single[code[start]]
+
+        def look(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = end[left + 1] - start[left]
+            fits = (owner[left + 1] == owner[left]) & (size <= self.longest)
+            key = start[left] * (self.longest + 1) + np.where(fits, size, 0)
+            if not len(places):
+                return np.full(len(left), none), np.full(len(left), -1, np.int32)
+            at = np.minimum(np.searchsorted(places, key), len(places) - 1)
+            found = places[at] == key
+            return np.where(found, ranks[at], none), ids[at]
+
+        best, joins = np.full(len(start), none), np.full(len(start), -1, np.int32)
+        best[:-1], joins[:-1] = look(np.arange(len(start) - 1))
+        settled: list[tuple[np.ndarray, ...]] = []
         while len(start):
-            best = np.full(len(start), none)
-            length = np.minimum(end[1:] - start[:-1], 31)
-            key = start[:-1] * 32 + length
-            at = np.minimum(np.searchsorted(places, key), max(len(places) - 1, 0))
-            fits = (owner[1:] == owner[:-1]) & (end[1:] - start[:-1] < 32) & ((places[at] == key) if len(places) else False)
-            best[:-1][fits] = ranks[at[fits]]
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             count = np.diff(np.append(first, len(start)))
             least = np.minimum.reduceat(best, first)
             over = np.repeat(least == none, count)
-            if over.any():
-                settled.append((owner[over], start[over], end[over]))
+            settled.append((owner[over], start[over], symbol[over]))
             hit = np.flatnonzero((best == np.repeat(least, count)) & ~over)
             chosen = hit[np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]])] if len(hit) else hit
-            end[chosen] = end[chosen + 1]
-            keep = ~over
+            end[chosen], symbol[chosen] = end[chosen + 1], joins[chosen]
+            keep, beside = ~over, np.zeros(len(start), bool)
             keep[chosen + 1] = False
-            owner, start, end = owner[keep], start[keep], end[keep]
-        owner, start, end = (np.concatenate(x) for x in zip(*settled))
-        order = np.argsort(start, kind="stable")
-        out: list[list[int]] = [[] for _ in segments]
-        for o, a, e in zip(owner[order].tolist(), start[order].tolist(), end[order].tolist()):
-            i = self.id.get(whole[a:e])
-            if i is None:
-                out[o].extend(self.bytes[list(whole[a:e].encode())].tolist())
-            else:
-                out[o].append(i)
-        self.known.update(zip(segments, [np.array(x, np.int32) for x in out]))
+            beside[chosen] = beside[np.maximum(chosen - 1, 0)] = True
+            owner, start, end, symbol, best, joins, beside = (x[keep] for x in (owner, start, end, symbol, best, joins, beside))
+            if len(start):
+                best[-1] = none
+                left = np.flatnonzero(beside[:-1])
+                best[left], joins[left] = look(left)
+        owner, start, symbol = (np.concatenate(x) for x in zip(*settled))
+        order = np.argsort(start)
+        owner, start, symbol = owner[order], start[order], symbol[order]
+        # A character without a piece becomes its bytes.
+        bare, char = symbol < 0, code[start]
+        n = np.where(bare, 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000), 1)
+        out = np.repeat(symbol, n)
+        raw = char[bare].astype("<u4").tobytes().decode("utf-32-le").encode()
+        out[np.repeat(bare, n)] = self.bytes[np.frombuffer(raw, np.uint8)]
+        sizes = np.bincount(owner, n, len(segments)).astype(np.int64)
+        self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments))))
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.count = np.append(self.count, sizes)
+        self.ids = np.append(self.ids, out)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         flat = list(itertools.chain.from_iterable(parts))
-        found = list(map(self.known.get, flat))
-        held = {s for s, ids in zip(flat, found) if ids is None}
-        fresh = sorted(held)
+        fresh = list(dict.fromkeys(s for s in flat if s not in self.known))
+        if fresh and len(self.known) + len(fresh) > self.cached:
+            self.forget()
+            fresh = list(dict.fromkeys(flat))
         for i in range(0, len(fresh), 50_000):
             self.learn(fresh[i : i + 50_000])
-        if fresh:
-            missing = sorted({s for s in flat if s not in self.known})
-            if missing:  # the memory started over
-                self.cached = max(self.cached, len(self.known) + len(missing))
-                self.learn(missing)
-            found = list(map(self.known.__getitem__, flat))
-        out, at = [], 0
-        for p in parts:
-            out.append(np.concatenate(found[at : at + len(p)]) if p else np.zeros(0, np.int32))
-            at += len(p)
-        return out
+        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        n = self.count[which]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[which] - ends + n, n) + np.arange(int(n.sum()))]
+        bounds = np.append(0, ends)[np.cumsum([0] + [len(p) for p in parts])]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
         n = self.size[ids]
