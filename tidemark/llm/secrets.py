@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import let, whole
 from tidemark.sources.storage import fresh_path
 
 SPANS = "array<struct<rule:string,start:int,end:int>>"
+LEDGER = f"blob string, rules array<string>, findings {SPANS}"
 
 
 @dataclass(frozen=True)
@@ -103,6 +105,16 @@ def scan_blobs(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame |
     return fresh.select("blob", "rules", F.concat(*due).alias("findings"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier scans wrote there, or None before the first."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def secret_scan(
     df: DataFrame,
     text: str = "text",
@@ -113,22 +125,28 @@ def secret_scan(
 ) -> DataFrame:
     """Per row: id, blob and findings, sorted by start and order of the rules.
 
-    ``ledger`` is what earlier scans wrote; this scan's rows are appended at
-    ``ledger_path`` (a fresh shared folder if not given).  Null text counts as
-    empty and has no findings; repeated rows each get theirs; an empty table gives
-    no rows; other columns are not looked at.
+    Earlier scans are read from ``ledger_path``, where this one appends its rows (a
+    fresh shared folder if not given), and from ``ledger`` if there is a table of them
+    elsewhere.  Pairs of blob and rule version found there are not scanned again, and
+    a pair that two scans wrote side by side counts once.  Null text counts as empty
+    and has no findings; whole texts of any length are scanned; repeated rows and
+    texts each get the findings of their blob; equal starts are in order of the rules;
+    an empty table gives no rows; other columns are not looked at.
     """
     spark = df.sparkSession
     t = whole(F.col(f"`{text}`"))
     versions = df.select(F.col(f"`{id}`").alias("id"), t.alias("text"), F.sha2(t, 256).alias("blob"))
     path = ledger_path or fresh_path(spark, "ledger")
-    new = scan_blobs(versions, rules, ledger)
+    earlier = read_ledger(spark, path) if ledger_path else None
+    seen = earlier if ledger is None else ledger if earlier is None else ledger.unionByName(earlier)
+    new = scan_blobs(versions, rules, seen)
     new.write.mode("append").parquet(path)
-    written = spark.read.schema(new.schema).parquet(path)
+    written = spark.read.schema(LEDGER).parquet(path)
     order = {r.key: i for i, r in enumerate(rules)}
     rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    known = written if ledger is None else ledger.unionByName(written).distinct()
-    found = known.where(F.size("findings") > 0).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("f"))
+    known = written if ledger is None else ledger.unionByName(written)
+    spans = F.flatten(F.collect_list("findings"))
+    found = known.where(F.size("findings") > 0).groupBy("blob").agg((spans if seen is None else F.array_distinct(spans)).alias("f"))
     ranked = F.transform(
         F.filter("f", lambda x: F.element_at(rank, x["rule"]).isNotNull()),
         lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["rule"]).alias("rank"), x["end"].alias("end"), F.substring_index(x["rule"], "@", 1).alias("kind")),
