@@ -49,20 +49,32 @@ def test_absent_classes(spark):
     assert {x["class"] for x in report} == {"0", "1", "macro avg", "weighted avg"}
 
 
-@pytest.mark.parametrize("max_ranked", [1_000_000, 50])
-def test_exact_quantiles(spark, max_ranked):
-    """A third of the values are equal, the rest heavy-tailed; sketches must not show."""
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_quantiles(spark, parts):
+    """A third of the values are equal, the rest heavy-tailed; how rows are dealt must not show."""
     rng = np.random.default_rng(0)
     x = np.concatenate([np.full(10_000, 2.5), np.exp(rng.normal(0, 3, 20_000))])
     y = np.where(rng.random(30_000) < 0.1, np.nan, rng.normal(size=30_000))
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).select("x", F.when(~F.isnan("y"), F.col("y")).alias("y"))
     probs = (0.0, 1 / 3, 0.5, 0.75, 0.999, 1.0)
-    got = {(r["feature"], r["p"]): r["value"] for r in exact_quantiles(df, ["x", "y"], probs, max_ranked).collect()}
+    got = {(r["feature"], r["p"]): r["value"] for r in exact_quantiles(df.repartition(parts), ["x", "y"], probs).collect()}
     for p in probs:
         assert got["x", p] == pytest.approx(np.quantile(x, p), rel=1e-12)
         assert got["y", p] == pytest.approx(np.nanquantile(y, p), rel=1e-12)
 
 
+def test_exact_quantiles_of_edge_values(spark):
+    inf, tiny = float("inf"), 5e-324
+    rows = [(-inf, None, 3), (-1.5, None, 3), (-0.0, None, 3), (0.0, None, None), (tiny, None, 9), (inf, None, 9), (float("nan"), None, 3)]
+    df = spark.createDataFrame(rows, "a double, b double, `c d` int")
+    got = {(r["feature"], r["p"]): r["value"] for r in exact_quantiles(df, ["a", "b", "c d"], (0.0, 0.2, 0.5, 0.8, 1.0)).collect()}
+    assert got == {
+        ("a", 0.0): -inf, ("a", 0.2): -1.5, ("a", 0.5): 0.0, ("a", 0.8): tiny, ("a", 1.0): inf,
+        ("c d", 0.0): 3.0, ("c d", 0.2): 3.0, ("c d", 0.5): 3.0, ("c d", 0.8): 9.0, ("c d", 1.0): 9.0,
+    }
+    assert exact_quantiles(df.limit(0), ["a", "b"], (0.5,)).count() == 0
+
+
 def test_correlation_is_pairwise_complete(spark):
     rng = np.random.default_rng(1)
     p = pd.DataFrame(rng.normal(size=(500, 3)), columns=list("abc")) + 1000.0

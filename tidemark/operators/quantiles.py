@@ -1,182 +1,110 @@
-"""Exact quantiles without sorting or hoarding a whole column.
-
-The built-in ``percentile`` keeps every distinct value of a column in one buffer.
-Here a sketch brackets each wanted rank; one more pass counts the rows between
-the brackets and ranks only the values inside them.  Where the brackets would
-still hold too many rows, they are sketched again from the inside first.  Two
-passes do for billions of rows, and the result is exact: a rank that fell outside
-its bracket would come back empty and is then looked up without one.
+"""Exact quantiles by refinement of order-preserving digits.
+
+The built-in ``percentile`` keeps every distinct value of a column in one buffer.  Here
+a double is a 64-bit key in value order, cut into four digits of 16 bits.  One pass
+counts rows per (column, leading digit) and finds the digit that holds each wanted
+rank; three more passes count the next digit among the rows that share the digits found
+so far.  The plan and the number of passes are the same at every size; a task holds at
+most 65,536 counters per column, and so does the window that adds them up.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 5_000
-MAX_RANKED = 2_000_000  # rows ranked in the end, over all wanted quantiles
+DIGIT, DIGITS = 16, 4
+SIGN = np.uint64(1 << 63)
+CELLS = pa.schema([("i", pa.int32()), ("lead", pa.int64()), ("digit", pa.int32()), ("n", pa.int64())])
 
 
-@dataclass(frozen=True)
-class _Want:
-    """One quantile of one column and the bracket believed to contain it."""
+def ordered_keys(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned keys in the same order; both zeros are one value."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits & SIGN, ~bits, bits | SIGN)
 
-    column: str
-    p: float
-    n: int = 0
-    lo: float = -math.inf
-    hi: float = math.inf
-    below: int = 0
-    inside: int = 0
 
-    @property
-    def rank(self) -> float:
-        return self.p * (self.n - 1)
+def key_value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
 
-    def within(self) -> Column:
-        x = F.col(self.column)
-        return (x >= self.lo) & (x <= self.hi)
 
+def _counts(df: DataFrame, columns: Sequence[str], level: int, leads: dict[int, list[int]]) -> DataFrame:
+    """(i, lead, digit, n): rows per column and digit of a level, below the leading digits asked for."""
+    shift = np.uint64(64 - DIGIT * (level + 1))
+    asked = {i: np.array(sorted(set(v)), np.uint64) for i, v in leads.items()}
+    low = np.uint64((1 << DIGIT) - 1)
 
-def _slack(inside: int) -> float:
-    return 2.0 / ACCURACY + 2.0 / max(1, inside)
-
-
-def _sketched(source: Column, at: list[float], slack: float) -> Column:
-    points = [p for x in at for p in (max(0.0, x - slack), min(1.0, x + slack))]
-    return F.percentile_approx(source, points, ACCURACY)
-
-
-def _first_brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> list[_Want]:
-    aggs = [
-        F.struct(F.count(c).alias("n"), _sketched(F.col(c), list(probs), 3.0 / ACCURACY).alias("at")).alias(c)
-        for c in columns
-    ]
-    row = df.agg(*aggs).head()
-    wants = []
-    for c in columns:
-        n, at = row[c]
-        for j, p in enumerate(probs if n else ()):
-            # A sketch of few rows is as good as exact, but its ends are ranks, not slack.
-            lo, hi = (-math.inf, math.inf) if n < ACCURACY else (at[2 * j], at[2 * j + 1])
-            wants.append(_Want(c, p, n, lo, hi))
-    return wants
-
-
-def _narrowed(df: DataFrame, wants: list[_Want]) -> list[_Want]:
-    """Sketch again inside each bracket; a miss keeps the former bounds."""
-    aggs = []
-    for i, w in enumerate(wants):
-        at = (w.rank - w.below) / max(1, w.inside - 1)
-        aggs.append(_sketched(F.when(w.within(), F.col(w.column)), [at], _slack(w.inside)).alias(str(i)))
-    row = df.agg(*aggs).head()
-    tight = _counted(df, [replace(w, lo=row[i][0], hi=row[i][1]) for i, w in enumerate(wants)])
-    covers = lambda w: w.below <= math.floor(w.rank) and w.below + w.inside > math.ceil(w.rank)
-    return [t if covers(t) else w for t, w in zip(tight, wants)]
-
-
-def _steps(wants: list[_Want], column: str) -> list[tuple[float, bool]]:
-    """Bracket ends of a column in order: (value, reached only beyond it)."""
-    return sorted({e for w in wants if w.column == column for e in ((w.lo, False), (w.hi, True))})
-
-
-def _cells(df: DataFrame, wants: list[_Want], with_values: bool) -> DataFrame:
-    """(i, zone, v, n): rows per column and zone, and per value inside brackets.
-
-    A zone is the number of bracket ends at or below a value, so zones are in
-    value order and each lies wholly inside or outside every bracket.  Looking up
-    the zone of a whole Arrow column at once beats a few hundred comparisons per
-    row in one generated method too long to be compiled.
-    """
-    columns = list(dict.fromkeys(w.column for w in wants))
-    lows = [np.sort([w.lo for w in wants if w.column == c]) for c in columns]
-    highs = [np.sort([w.hi for w in wants if w.column == c]) for c in columns]
+    def cells(i: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values, n = np.unique(keys, return_counts=True)
+        if len(values):
+            lead, digit = (values >> np.uint64(DIGIT)).astype(np.int64), (values & low).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), pa.array(lead), pa.array(digit), pa.array(n.astype(np.int64))], schema=CELLS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros((len(columns), 1 << DIGIT), np.int64) if level == 0 else None
         for batch in batches:
-            out = []
-            for i, col in enumerate(batch.columns):
-                x = col.drop_null().to_numpy(zero_copy_only=False)
-                x = x[~np.isnan(x)]
-                opened = np.searchsorted(lows[i], x, side="right")
-                closed = np.searchsorted(highs[i], x, side="left")
-                zone = opened + closed
-                inside = (opened > closed) if with_values else np.zeros(len(x), bool)
-                values, at, times = np.unique(x[inside], return_index=True, return_counts=True)
-                out += zip([i] * len(values), zone[inside][at].tolist(), values.tolist(), times.tolist())
-                zones, times = np.unique(zone[~inside], return_counts=True)
-                out += zip([i] * len(zones), zones.tolist(), [None] * len(zones), times.tolist())
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("i", "zone", "v", "n"), r)) for r in out],
-                pa.schema([("i", pa.int32()), ("zone", pa.int32()), ("v", pa.float64()), ("n", pa.int64())]),
-            )
-
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    cells = rows.mapInArrow(count, "i int, zone int, v double, n long")
-    return cells.groupBy("i", "zone", "v").agg(F.sum("n").alias("n"))
-
-
-def _counted(df: DataFrame, wants: list[_Want]) -> list[_Want]:
-    columns = list(dict.fromkeys(w.column for w in wants))
-    counts = {(r["i"], r["zone"]): r["n"] for r in _cells(df, wants, False).collect()}  # few zones per column
-    out = []
-    for w in wants:
-        i, steps = columns.index(w.column), _steps(wants, w.column)
-        first, last = steps.index((w.lo, False)) + 1, steps.index((w.hi, True))
-        total = lambda zones: sum(n for (j, z), n in counts.items() if j == i and z in zones)
-        out.append(replace(w, below=total(range(first)), inside=total(range(first, last + 1))))
-    return out
-
-
-def _ranked(df: DataFrame, wants: list[_Want]) -> dict[tuple[str, float], float | None]:
-    spark = df.sparkSession
-    columns = list(dict.fromkeys(w.column for w in wants))
-    cells = _cells(df, wants, True)
-    order = Window.partitionBy("i").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
-    at = cells.withColumn("upto", F.sum("n").over(order))
-    ranks = spark.createDataFrame(
-        [(columns.index(w.column), j, k) for j, w in enumerate(wants) for k in {math.floor(w.rank), math.ceil(w.rank)}],
-        "i int, want int, k long",
-    )
-    # Two rows per wanted quantile: sized by the arguments, not by the data.
-    hit = (F.col("upto") - F.col("n") <= F.col("k")) & (F.col("k") < F.col("upto"))
-    found = {
-        (r["want"], r["k"]): r["v"]
-        for r in at.join(F.broadcast(ranks), "i").where(hit).select("want", "k", "v").collect()
-    }
-    out = {}
-    for j, w in enumerate(wants):
-        a, b = found.get((j, math.floor(w.rank))), found.get((j, math.ceil(w.rank)))
-        out[w.column, w.p] = None if a is None or b is None else a + (b - a) * (w.rank % 1.0)
-    return out
-
-
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_ranked: int = MAX_RANKED
-) -> DataFrame:
+            for i, column in enumerate(batch.columns):
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                keys = ordered_keys(x[~np.isnan(x)]) >> shift
+                if first is not None:
+                    first[i] += np.bincount(keys.astype(np.int64), minlength=1 << DIGIT)
+                elif i in asked:
+                    lead = keys >> np.uint64(DIGIT)
+                    at = np.minimum(np.searchsorted(asked[i], lead), len(asked[i]) - 1)
+                    yield from cells(i, keys[asked[i][at] == lead])
+        if first is not None:
+            i, digit = np.nonzero(first)
+            arrays = [i.astype(np.int32), np.zeros(len(i), np.int64), digit.astype(np.int32), first[i, digit]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=CELLS)
+
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    return rows.mapInArrow(count, "i int, lead long, digit int, n long").groupBy("i", "lead", "digit").agg(F.sum("n").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(feature, p, value)`` with linear interpolation between ranks.
 
-    ``df`` is read a few times: hand in a stored table, not a long plan.
+    Nulls and NaN do not count; a column without values has no rows.  ``df`` is read
+    four times: hand in a stored table, not a long plan.
     """
-    df = df.select(*columns)
-    wants = _first_brackets(df, columns, probs)
-    expected = sum(w.n if math.isinf(w.lo) else 2 * 4.0 / ACCURACY * w.n for w in wants)
-    if expected > max_ranked:
-        wants = _counted(df, wants)
-        while sum(w.inside for w in wants if w.lo < w.hi) > max_ranked:
-            tighter = _narrowed(df, wants)
-            if all(t.inside == w.inside for t, w in zip(tighter, wants)):
-                break  # what is left inside are copies of few values
-            wants = tighter
-    values = _ranked(df, wants) if wants else {}
-    missed = [w for w in wants if values[w.column, w.p] is None]
-    if missed:
-        values |= _ranked(df, [replace(w, lo=-math.inf, hi=math.inf) for w in missed])
-    rows = [(c, float(p), v) for (c, p), v in values.items()]
-    return df.sparkSession.createDataFrame(rows, "feature string, p double, value double")
+    spark = df.sparkSession
+    probs = [float(p) for p in probs]
+    whole = Window.partitionBy("i", "lead")
+    upto = F.sum("n").over(whole.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+    first = _counts(df, columns, 0, {}).select("i", "digit", "n", upto.alias("upto"), F.sum("n").over(whole).alias("total"))
+    rank = [p * (F.col("total") - 1) for p in probs]
+    ends = F.array(*[F.struct(F.lit(j).alias("j"), f(r).cast("long").alias("k")) for j, r in enumerate(rank) for f in (F.floor, F.ceil)])
+    here = F.filter(ends, lambda e: (e["k"] >= F.col("upto") - F.col("n")) & (e["k"] < F.col("upto")))
+    found = first.select("i", "digit", "total", (F.col("upto") - F.col("n")).alias("before"), F.explode(F.array_distinct(here)).alias("e"))
+    # From here on two ranks per column and quantile: sized by the arguments, not by the data.
+    kept = found.collect()
+    totals = {r["i"]: r["total"] for r in kept}
+    places = {(r["i"], r["e"]["j"], r["e"]["k"]): (r["digit"], r["e"]["k"] - r["before"]) for r in kept}
+    for level in range(1, DIGITS if places else 0):
+        leads: dict[int, list[int]] = {}
+        for (i, _, _), (lead, _) in places.items():
+            leads.setdefault(i, []).append(lead)
+        wanted = spark.createDataFrame(
+            [(i, lead, j, k, left) for (i, j, k), (lead, left) in places.items()], "i int, lead long, j int, k long, left long"
+        )
+        counted = _counts(df, columns, level, leads).select("i", "lead", "digit", "n", upto.alias("upto"))
+        inside = (F.col("left") >= F.col("upto") - F.col("n")) & (F.col("left") < F.col("upto"))
+        hits = counted.join(F.broadcast(wanted), ["i", "lead"]).where(inside)
+        step = {}
+        for r in hits.select("i", "j", "k", "lead", "digit", (F.col("left") - F.col("upto") + F.col("n")).alias("rest")).collect():
+            step[r["i"], r["j"], r["k"]] = ((r["lead"] << DIGIT) | r["digit"], r["rest"])
+        places = step
+    rows = []
+    for i, total in sorted(totals.items()):
+        for j, p in enumerate(probs):
+            at = p * (total - 1)
+            a, b = (key_value(places[i, j, k][0]) for k in (math.floor(at), math.ceil(at)))
+            rows.append((columns[i], p, a if a == b else a + (b - a) * (at % 1.0)))
+    return spark.createDataFrame(rows, "feature string, p double, value double")
+
