@@ -8,6 +8,7 @@ from tidemark import fixtures as fx
 from tidemark.catalog.base import BARS, FEATURE_SQL, FEATURES, PREDICTIONS, RAW, TABLE_SQL, query, r, rounded
 from tidemark.catalog.features import CONFIG, features, table
 from tidemark.catalog.metrics import scores_sql
+from tidemark.operators import kept_profile as kp
 from tidemark.operators import profile as pf
 from tidemark.operators.stats import seeded_sample, threshold_sweep
 from tidemark.plans.features import feature_metadata as plan_metadata
@@ -31,6 +32,48 @@ def dataset_profile(spark, sf):
     return rounded(pf.dataset_profile(fx.raw_bars(spark, sf), _PROFILED))
 
 
+_LOADS = ("1996-01-01", "1999-01-01")
+
+
+def kept_parts(spark, sf):
+    """All raw bars in three loads by date, the second of them written twice."""
+    path = fresh_path(spark, "profile")
+    raw = stored(fx.raw_bars(spark, sf), "raw").withColumn("year", F.year("Date"))
+    first, last = (F.lit(d).cast("date") for d in _LOADS)
+    spans = {"a": F.col("Date") < first, "b": (F.col("Date") >= first) & (F.col("Date") < last), "c": F.col("Date") >= last}
+    for load in ("a", "b", "c", "b"):
+        kp.add_load(raw.where(spans[load]), path, load, _PROFILED, ("Symbol", "year"))
+    return kp.read_parts(spark, path), raw
+
+
+@query(
+    "kept_profile",
+    f"WITH {RAW} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{_TYPES.get(c, 'double')}' AS dtype, count(*) AS n, count(*) - count({c}) AS missing, "
+        f"{r(f'(count(*) - count({c})) * 100.0E0 / count(*)')} AS missing_pct, count(DISTINCT {c}) AS unique_values, TRUE AS sketch_close FROM raw_bars"
+        for c in _PROFILED
+    ),
+)
+def kept_profile(spark, sf):
+    """The merged profile beside a full pass: counts equal, the sketch within its bound."""
+    parts, raw = kept_parts(spark, sf)
+    exact = pf.dataset_profile(raw, _PROFILED).select("column", F.col("unique_values").alias("exact"))
+    both = kp.kept_profile(parts).join(exact, "column")
+    close = F.abs(F.col("unique_values") - F.col("exact")) <= F.col("exact") * kp.DISTINCT_ERROR
+    return rounded(both.select("column", "dtype", "n", "missing", "missing_pct", F.col("exact").alias("unique_values"), close.alias("sketch_close")))
+
+
+@query(
+    "kept_distribution",
+    f"WITH {RAW} SELECT CAST(year(Date) AS VARCHAR) AS value, count(*) AS n, {r('count(*) * 100.0E0 / sum(count(*)) OVER ()')} AS percentage "
+    f"FROM raw_bars GROUP BY 1 UNION ALL SELECT Symbol, count(*), {r('count(*) * 100.0E0 / sum(count(*)) OVER ()')} FROM raw_bars GROUP BY 1",
+)
+def kept_distribution(spark, sf):
+    parts, _ = kept_parts(spark, sf)
+    return rounded(kp.kept_distribution(parts, "year").unionByName(kp.kept_distribution(parts, "Symbol")))
+
+
 @query(
     "ticker_distribution",
     f"WITH {BARS} SELECT Symbol, count(*) AS observations, "

@@ -20,6 +20,7 @@ PARTS = "load string, column string, value string, dtype string, n long, missing
 def profile_parts(df: DataFrame, columns: Sequence[str] | None = None, dims: Sequence[str] = ()) -> DataFrame:
     """One row per column (rows, missing, sketch of the values), one per value of each of ``dims``.
 
+    Sketches leave out empty texts, so values carry a mark before them.
     Both come from one aggregate each, combined on the map side: a value that a third
     of the rows share costs one row per task.  ``dims`` are meant for columns whose
     values are few beside the rows (symbols, years, labels); their counts are exact.
@@ -32,7 +33,7 @@ def profile_parts(df: DataFrame, columns: Sequence[str] | None = None, dims: Seq
                 F.lit(types[c]).alias("dtype"),
                 F.count(F.lit(1)).alias("n"),
                 F.count_if(F.col(f"`{c}`").isNull()).alias("missing"),
-                F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(LG_K)).alias("sketch"),
+                F.hll_sketch_agg(F.concat(F.lit("."), F.col(f"`{c}`").cast("string")), F.lit(LG_K)).alias("sketch"),
             ).alias(c)
             for c in columns
         ]
@@ -52,7 +53,7 @@ def profile_parts(df: DataFrame, columns: Sequence[str] | None = None, dims: Seq
 def add_load(df: DataFrame, path: str, load: str, columns: Sequence[str] | None = None, dims: Sequence[str] = ()) -> None:
     """Write a load's parts; a load of the same name is replaced."""
     parts = profile_parts(df, columns, dims).withColumn("load", F.lit(load))
-    parts.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path)
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path)
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
