@@ -107,10 +107,10 @@ prompts AS (
     + ", 'KEY_TECHNICAL_INDICATORS:', "
     + ", ".join(f"'  - {c}: ' || printf('%.4f', {c})" for c in SHOWN[:8])
     + """) AS user_text,
-    '{"signal":"' || label || '","confidence":"' || tier || '","why":"Model generated ' || label
-      || ' signal primarily driven by top technical indicators: ' || a[1].feature || ', ' || a[2].feature
-      || '.","key_drivers":["' || a[1].feature || '","' || a[2].feature || '","' || a[3].feature
-      || '"],"conflicts_risks":[],"model_interpretation":"High confidence attribution based on ' || task_type || ' analysis."}' AS answer
+    concat_ws(chr(10), '{', '  "signal": "' || label || '",', '  "confidence": "' || tier || '",', '  "why": "Model generated ' || label
+      || ' signal primarily driven by top technical indicators: ' || a[1].feature || ', ' || a[2].feature || '.",',
+      '  "key_drivers": [', '    "' || a[1].feature || '",', '    "' || a[2].feature || '",', '    "' || a[3].feature || '"', '  ],',
+      '  "conflicts_risks": [],', '  "model_interpretation": "High confidence attribution based on ' || task_type || ' analysis."', '}') AS answer
   FROM named)"""
 )
 
