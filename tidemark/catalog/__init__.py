@@ -6,4 +6,4 @@ __all__ = ["ORACLES", "QUERIES", "load"]
 
 
 def load() -> None:
-    from tidemark.catalog import bars, conformance, features, files, metrics, models, profiles, records  # noqa: F401
+    from tidemark.catalog import bars, chain, conformance, features, files, metrics, models, profiles, records  # noqa: F401
