@@ -4,7 +4,8 @@ Calls and results are hash-joined by conversation and identifier.  Every event g
 a place (turn, level) that grows along each dependency: a result never comes before
 its call, and a call never before the result it refers to.  Places start at the
 turns of the transcript and are raised where a dependency is violated until nothing
-changes; references are only followed to calls of earlier turns, so this ends.
+changes; that works on one narrow row per call, and references that form a cycle are
+found by pointer doubling first and left out.
 Arguments are checked against per-tool schemas, and every event becomes one line of
 canonical JSON (keys sorted at every depth, no blanks).
 """
@@ -31,6 +32,7 @@ class Parameter:
     allowed: tuple[str, ...] = ()
 
 
+EVENT_COLUMNS = ("kind", "call_id", "name", "arguments", "after", "role", "content")
 Schemas = dict[str, tuple[Parameter, ...]]
 
 
@@ -81,38 +83,91 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def whole_numbers(json: Column) -> Column:
+    """JSON whose whole numbers have no fraction (1.0 and 1e0 become 1); texts stay.
+
+    From 10^7 on a number that was written with an exponent keeps one.
+    """
+    bare = F.regexp_replace(json, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?\d+)\.0(?=[,}\]]|$)', "$1$2")
+    return F.when(json.rlike(r"\d\.0(?:[,}\]]|$)"), bare).otherwise(json)
+
+
 def quoted(text: Column) -> Column:
     """A string as a JSON string."""
     whole = F.to_json(F.array(text))
     return F.when(text.isNull(), "null").otherwise(F.substring(whole, 2, F.length(whole) - 2))
 
 
-def _places(events: DataFrame) -> DataFrame:
-    """``events`` with place struct(turn, level) after raising violated dependencies."""
-    start = F.struct(F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), F.lit(0).alias("level"))
-    events = stored(events.withColumn("place", start), "events")
+def _at(turn: Column, level: Column) -> Column:
+    return F.struct(turn.cast("long").alias("turn"), level.cast("int").alias("level"))
+
+
+def _next(place: Column) -> Column:
+    return _at(place["turn"], place["level"] + 1)
+
+
+def _calls(events: DataFrame) -> DataFrame:
+    """One narrow row per conversation and identifier: its linking call, counts and turns, no texts."""
+    keyed = events.where("call_id is not null and conv_id is not null and kind in ('call', 'result')")
+    turn = F.coalesce("turn", F.lit(0))
+    called, answered = (F.when(F.col("kind") == k, turn) for k in ("call", "result"))
+    first = F.when(F.col("kind") == "call", F.struct(turn, "name", "after"))
+    return keyed.groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).agg(
+        F.count(called).alias("calls"),
+        F.count(answered).alias("results"),
+        F.min(called).alias("call_turn"),
+        F.max(answered).alias("result_turn"),
+        F.min_by("name", first).alias("call_name"),
+        F.min_by("after", first).alias("ref"),
+    )
+
+
+def _on_cycles(calls: DataFrame) -> DataFrame | None:
+    """(c, i) of calls whose references lead back to themselves; None where none can.
+
+    References to calls of earlier turns cannot close a cycle alone, so only the
+    conversations with another one are looked at.  Pointers double until they have
+    gone further than a conversation has calls: what they then point at is a cycle.
+    """
+    linked = calls.where("calls > 0")
+    target = linked.select(F.col("c").alias("tc"), F.col("i").alias("ti"), F.col("call_turn").alias("tt"))
+    refers = linked.join(target, (F.col("c") == F.col("tc")) & (F.col("ref") == F.col("ti")))
+    suspects = refers.where("tt >= call_turn").select("c").distinct()
+    jumps = stored(refers.join(suspects, "c", "left_semi").select("c", "i", "ref"), "jumps")
+    longest = jumps.groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
+    if not longest:
+        return None
+    reach = 1
+    while reach < longest:
+        onward = jumps.select("c", F.col("i").alias("ref"), F.col("ref").alias("further"))
+        jumps = stored(jumps.join(onward, ["c", "ref"]).select("c", "i", F.col("further").alias("ref")), "jumps")
+        reach *= 2
+    return jumps.select("c", F.col("ref").alias("i")).distinct().withColumn("cycle", F.lit(True))
+
+
+def _placed(calls: DataFrame) -> DataFrame:
+    """``calls`` with ``call_at`` and ``result_at``, raised until every dependency holds.
+
+    A reference that is part of a cycle is not followed.  Without cycles a round settles
+    every call whose reference is settled, so rounds number at most the longest chain of
+    violated dependencies, and none of them moves a text.
+    """
+    start = _at(F.col("call_turn"), F.lit(0))
+    cycles = _on_cycles(calls)
+    marked = calls.withColumn("cycle", F.lit(False)) if cycles is None else calls.join(cycles, ["c", "i"], "left")
+    marked = marked.withColumns({"cycle": F.coalesce("cycle", F.lit(False)), "call_at": start})
+    answered = F.when(F.col("results") > 0, F.greatest(_at(F.col("result_turn"), F.lit(0)), _next(F.col("call_at"))))
     while True:
-        at = F.struct(F.col("place.turn").alias("turn"), (F.col("place.level") + 1).alias("level"))
-        done = events.where("call_id is not null and kind in ('call', 'result')").groupBy("conv_id", "call_id")
-        done = done.agg(
-            F.max(F.when(F.col("kind") == "call", at)).alias("call_at"),
-            F.max(F.when(F.col("kind") == "result", at)).alias("result_at"),
-            F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"),
-        )
-        own = done.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "call_at")
-        referred = done.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), "result_at", "call_turn")
-        e = events.join(own, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i")), "left")
-        e = e.join(referred, (F.col("conv_id") == F.col("rc")) & (F.col("after") == F.col("ri")), "left")
-        need = F.when(F.col("kind") == "result", F.col("call_at")).when(
-            (F.col("kind") == "call") & (F.col("call_turn") < F.col("turn")), F.col("result_at")
-        )
-        raised = F.when(need > F.col("place"), need).otherwise(F.col("place"))
-        moved = F.coalesce(need > F.col("place"), F.lit(False))
-        new = stored(e.select(*[c for c in events.columns if c != "place"], raised.alias("place"), moved.alias("moved")), "events")
-        changed = new.where("moved").limit(1).count()
-        events = new.drop("moved")
-        if not changed:
-            return events
+        marked = marked.withColumn("result_at", answered)
+        target = marked.select(F.col("c").alias("tc"), F.col("i").alias("ti"), _next(F.col("result_at")).alias("need"), F.col("result_at").isNotNull().alias("bound"))
+        follows = (F.col("c") == F.col("tc")) & (F.col("ref") == F.col("ti")) & ~F.col("cycle")
+        raised = marked.join(target, follows, "left")
+        moved = F.coalesce(F.col("bound") & (F.col("need") > F.col("call_at")), F.lit(False))
+        raised = raised.withColumn("moved", moved).withColumn("call_at", F.when(F.col("moved"), F.col("need")).otherwise(F.col("call_at")))
+        marked = stored(raised.drop("tc", "ti", "need", "bound"), "calls")
+        if marked.where("moved").isEmpty():
+            return marked.drop("moved")
+        marked = marked.drop("moved", "result_at")
 
 
 def link_tool_calls(events: DataFrame, schemas: Schemas) -> DataFrame:
@@ -122,19 +177,27 @@ def link_tool_calls(events: DataFrame, schemas: Schemas) -> DataFrame:
     arguments (JSON text), after (call whose result a call uses), role, content.
     Status of a call: linked or no_result; of a result: linked or orphan; calls whose
     identifier repeats in the conversation are ``duplicate``.  Null conversations or
-    identifiers never link.  A result links to the smallest turn's call.  Repeated rows
-    stay; an empty table gives no rows.  No conversation is gathered: order is the
-    pair (order_turn, order_level), with ties in order of the turn.
+    identifiers never link; a null turn counts as turn 0 in the order.  Results and
+    references link to the smallest turn's call.  References to earlier, the same and
+    later turns are all followed; calls whose references lead back to themselves keep
+    their turn and have the error ``cycle``.  Repeated rows stay; texts may be of any
+    length; an empty table gives no rows; further columns are not looked at.  No
+    conversation is gathered: order is the pair (order_turn, order_level), with ties
+    in order of the turn.
     """
-    placed = _places(events.withColumn("turn", F.col("turn").cast("long")))
-    keyed = placed.where("call_id is not null and conv_id is not null")
-    sums = keyed.groupBy("conv_id", "call_id").agg(
-        F.count_if(F.col("kind") == "call").alias("calls"),
-        F.count_if(F.col("kind") == "result").alias("results"),
-        F.min_by("name", F.when(F.col("kind") == "call", F.struct("turn", "name"))).alias("call_name"),
+    events = events.select("conv_id", F.col("turn").cast("long").alias("turn"), *EVENT_COLUMNS)
+    known = _placed(stored(_calls(events), "calls"))
+    own = known.select("c", "i", "calls", "results", "call_name", "call_turn", "call_at", "cycle")
+    referred = known.select(F.col("c").alias("rc"), F.col("i").alias("ri"), "result_at")
+    e = events.join(own, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i")), "left")
+    e = e.join(referred, (F.col("conv_id") == F.col("rc")) & (F.col("after") == F.col("ri")) & (F.col("kind") == "call"), "left")
+    turn = F.coalesce("turn", F.lit(0))
+    need = F.when((F.col("kind") == "result") & F.col("call_at").isNotNull(), _next(F.col("call_at"))).when(
+        (F.col("kind") == "call") & (turn > F.col("call_turn")) & F.col("result_at").isNotNull(), _next(F.col("result_at"))
     )
-    sums = sums.withColumnsRenamed({"conv_id": "c", "call_id": "i"})
-    e = placed.join(sums, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i")), "left")
+    place = F.greatest(_at(turn, F.lit(0)), need)
+    links = (F.col("kind") == "call") & (turn == F.col("call_turn"))
+    e = e.withColumn("place", F.when(links, F.col("call_at")).otherwise(place))
     calls, results = F.coalesce("calls", F.lit(0)), F.coalesce("results", F.lit(0))
     status = (
         F.when(F.col("kind") == "call", F.when(calls > 1, "duplicate").when(results > 0, "linked").otherwise("no_result"))
@@ -143,9 +206,10 @@ def link_tool_calls(events: DataFrame, schemas: Schemas) -> DataFrame:
     )
     e = e.withColumns({"status": status, "parsed": F.expr("try_parse_json(arguments)")})
     name = F.when(F.col("kind") == "call", F.coalesce("name", F.lit(""))) 
-    errors = argument_errors(name, F.col("parsed"), schemas)
+    circular = F.when(links & F.col("cycle"), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))
+    errors = F.array_sort(F.concat(argument_errors(name, F.col("parsed"), schemas), circular))
     e = e.withColumn("errors", F.when(F.col("kind") == "call", errors).otherwise(F.array().cast("array<string>")))
-    arguments = F.coalesce(F.to_json("parsed"), quoted(F.col("arguments")))
+    arguments = F.coalesce(whole_numbers(F.to_json("parsed")), quoted(F.col("arguments")))
     call = canonical_json({"arguments": arguments, "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "type": F.lit('"tool_call"')})
     result = canonical_json(
         {"content": quoted(F.col("content")), "id": quoted(F.col("call_id")), "name": quoted(F.col("call_name")), "type": F.lit('"tool_result"')}
