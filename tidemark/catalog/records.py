@@ -292,13 +292,25 @@ def chat_text_eval(spark, sf):
 
 @query(
     "chat_flatten",
-    "SELECT conv_id, turn // 4096 AS part, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text "
-    "FROM conversations GROUP BY conv_id, turn // 4096",
+    "SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text "
+    "FROM conversations GROUP BY conv_id",
 )
 def chat_flatten(spark, sf):
     return te.flatten_chat(te.conversation_records(fx.table(spark, sf, "conversations")))
 
 
+_MARKED = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
+
+
+@query(
+    "chat_turns",
+    f"WITH x AS (SELECT conv_id, turn, {_MARKED} AS text FROM conversations) SELECT conv_id, turn, text, "
+    "CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) AS BIGINT) AS at FROM x",
+)
+def chat_turns(spark, sf):
+    return te.flatten_turns(fx.table(spark, sf, "conversations"))
+
+
 @query(
     "read_messages",
     "SELECT role, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY role",
