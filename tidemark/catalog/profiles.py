@@ -74,6 +74,36 @@ def kept_distribution(spark, sf):
     return rounded(kp.kept_distribution(parts, "year").unionByName(kp.kept_distribution(parts, "Symbol")))
 
 
+_PRICES = ["Open", "High", "Low", "Close", "Volume"]
+
+
+@query(
+    "column_roles",
+    f"WITH {TABLE_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{'price' if c in _PRICES else 'feature'}' AS role, count({x}) AS n, "
+        f"count(CASE WHEN target_label = 'BUY' THEN {x} END) AS n_buy FROM ftable"
+        for c, x in [*((c, c) for c in _PRICES + FEATURES), ("turnover", "CASE WHEN day(Date) <> 5 THEN Close END")]
+    ),
+)
+def column_roles(spark, sf):
+    """The columns a model may see, a decimal one among them, and the label found by its candidates."""
+    some = F.when(F.dayofmonth("Date") != 5, F.col("Close") * F.col("Volume")).cast("decimal(18,2)")
+    df = table(spark, sf).withColumn("turnover", some)
+    label = pf.find_column(df, ("label", "target_label", "target"))
+    known = set(pf.feature_columns(df))
+    columns = pf.numeric_columns(df)
+    seen = [
+        F.struct(
+            F.lit("feature" if c in known else "price").alias("role"),
+            F.count(c).alias("n"),
+            F.count(F.when(F.col(label) == "BUY", F.col(c))).alias("n_buy"),
+        ).alias(c)
+        for c in columns
+    ]
+    return df.agg(*seen).unpivot([], columns, "column", "s").select("column", "s.*")
+
+
 @query(
     "ticker_distribution",
     f"WITH {BARS} SELECT Symbol, count(*) AS observations, "

@@ -17,19 +17,23 @@ NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 METADATA = ("Symbol", "Ticker", "Date", "Open", "High", "Low", "Close", "Volume", "Adj Close")
 
 
+def is_numeric(dtype: str) -> bool:
+    return dtype in NUMERIC or dtype.startswith("decimal")
+
+
 def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Numeric columns that are neither metadata nor forward-looking."""
     skip = {*METADATA, "split", "ingest_seq", *exclude}
     return [
         c
         for c, t in df.dtypes
-        if t in NUMERIC and c not in skip and not c.startswith(("target_", "target", "fwd_"))
+        if is_numeric(t) and c not in skip and not c.startswith(("target_", "target", "fwd_"))
     ]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns without targets; prices and volume included."""
-    return [c for c, t in df.dtypes if t in NUMERIC and not c.startswith(("target", "fwd_"))]
+    return [c for c, t in df.dtypes if is_numeric(t) and not c.startswith(("target", "fwd_"))]
 
 
 def find_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
@@ -53,7 +57,7 @@ def feature_quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
     def stats(c: str) -> Column:
         x = F.col(c)
-        numeric = types[c] in NUMERIC
+        numeric = is_numeric(types[c])
         number = x.cast("double") if numeric else F.lit(None).cast("double")
         return F.struct(
             F.lit(types[c]).alias("dtype"),
