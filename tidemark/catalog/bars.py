@@ -307,9 +307,8 @@ def leakage_order(spark, sf):
     "CAST(0 AS BIGINT) AS missing_values_filled, d.n - k.n AS invalid_rows_dropped FROM c, d, k",
 )
 def run_metadata(spark, sf):
-    raw = fx.raw_bars(spark, sf)
-    cleaned = cl.clean(raw)
-    return bar_metadata(validate(cleaned, RULES), cl.clean_metrics(raw), requested(spark, sf))
+    cleaned, counters = cl.clean_counted(fx.raw_bars(spark, sf))
+    return bar_metadata(validate(cleaned, RULES), counters, requested(spark, sf))
 
 
 _CLASSED = """
