@@ -1,15 +1,19 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
-Documents are range-partitioned by id into chunks, one stored file each.  Every
-word position starts a suffix; cut at the window's length, a suffix is a leaf path
+Documents are range-partitioned by id, and rows that share an id by their place, into
+chunks, one stored file each.  Every word position starts a suffix; cut at the window's length, a suffix is a leaf path
 of a tree whose first edge is a prefix of it.  Suffixes are split into groups by
 prefixes of variable length: short ones where a group stays small, longer ones where
 a frequent beginning would not.  A group's tree is its suffixes in order, a deep
-internal node a run of suffixes equal over the whole window, and its first chunk the
+internal node a run of suffixes equal over the whole window, and its first leaf the
 one where the sequence starts first.  A chunk hands in each distinct suffix once, so
 a passage in a third of all documents costs one entry per chunk, and gets back one
-bit per suffix: whether an earlier chunk has it.  Within a chunk the earliest
+bit per suffix: whether a chunk of smaller ids has it.  Within a chunk the earliest
 document is found locally.
+
+Chunks are ordered by a rank of their ids.  An id that fills several chunks, as a
+null id may, has a rank of its own between its first chunk's and the next one's, so
+that its chunks do not count as earlier than one another.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions
-from tidemark.sources.storage import fresh_path
+from tidemark.sources.storage import fresh_path, stored
 
 WINDOW = 13
 PREFIXES = (1, 5)  # words of a short and of a long prefix; the third length is the window
 CELLS = 1 << 12
+BUCKETS = 1 << 14  # files of more chunks than this share buckets
 FREQUENT = 8  # a prefix cell this many times as full as the mean group goes on to the next length
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,32 +117,62 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def store_chunks(df: DataFrame, text: str, id: str, chunks: int) -> DataFrame:
-    """(chunk, id, own, none, text), each chunk a range of ids in a bucket file of its own."""
+    """(chunk, id, own, none, text), each chunk a range of (id, place) in a file of its own."""
     spark = df.sparkSession
     key = F.col(f"`{id}`")
     # A filled id and a mark: pandas would make doubles of long ids beside nulls.
     filled = F.coalesce(key, F.lit(0).cast(df.schema[id].dataType))
     rows = df.select(key.alias("id"), filled.alias("own"), key.isNull().alias("none"), F.col(f"`{text}`").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(chunks, "id").withColumn("chunk", F.spark_partition_id())
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(chunks, "id", "place").drop("place").withColumn("chunk", F.spark_partition_id())
     path = fresh_path(spark, "chunks")
     name = "chunks_" + path.rsplit("-", 1)[-1]
-    writer = ranged.write.bucketBy(chunks, "chunk").option("path", path).option("compression", "zstd")
+    writer = ranged.write.bucketBy(min(chunks, BUCKETS), "chunk").option("path", path).option("compression", "zstd")
     writer.format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
-    """Whole chunks (chunk, texts) of a partition whose rows are sorted by chunk."""
-    chunk, texts = None, []
+def ranked(table: DataFrame) -> DataFrame:
+    """Add ``rank``: 2 * chunk + 1, but one number for all rows of an id that several chunks
+    hold: 2 * first chunk + 2.  Such an id is an end of every chunk it is in."""
+    key = F.struct((~F.col("none")).alias("known"), "own")  # null ids come first
+    ends = stored(table.groupBy("chunk").agg(F.min(key).alias("low"), F.max(key).alias("high")), "ends")
+    held = ends.select("chunk", F.explode(F.array("low", "high")).alias("key")).groupBy("key")
+    spread = held.agg(F.min("chunk").alias("first"), F.max("chunk").alias("last")).where("first < last")
+    low, high = (spread.select(F.col("key").alias(end), F.col("first").alias(f"first_{end}")) for end in ("low", "high"))
+    known = ends.join(low, "low", "left").join(high, "high", "left")
+    first = F.when(key == F.col("low"), F.col("first_low")).when(key == F.col("high"), F.col("first_high"))
+    rank = F.coalesce(first * 2 + 2, F.col("chunk") * 2 + 1).cast("long")
+    return table.join(known, "chunk").withColumn("rank", rank).drop(*known.drop("chunk").columns)
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, np.ndarray]]:
+    """Whole chunks (chunk, texts, ranks) of a partition whose rows are sorted by chunk."""
+    chunk, texts, ranks = None, [], []
     for pdf in batches:
         for c, part in pdf.groupby("chunk", sort=False):
             if c != chunk and texts:
-                yield chunk, texts
-                texts = []
+                yield chunk, texts, np.array(ranks, np.int64)
+                texts, ranks = [], []
             chunk = c
             texts.extend(part["text"].tolist())
+            ranks.extend(part["rank"].tolist())
     if texts:
-        yield chunk, texts
+        yield chunk, texts, np.array(ranks, np.int64)
+
+
+def _leaves(group: np.ndarray, suffix: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the windows by (group, suffix), where each run of equal ones begins, the runs
+    in the order in which they are handed in, (group, rank, suffix), and where a row of that
+    begins.  Windows must come by rank: a run then counts at its smallest."""
+    order = np.lexsort([suffix, group])
+    g, s = group[order], suffix[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])]) if len(g) else np.zeros(0, bool)
+    g, r = g[new], rank[order][new]
+    handed = np.arange(len(g)) if len(g) == 0 or r.min() == r.max() else np.lexsort([r, g])
+    g, r = g[handed], r[handed]
+    row = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])])) if len(g) else np.zeros(0, np.int64)
+    return order, new, handed, row
 
 
 def prefix_levels(stored_chunks: DataFrame, groups: int) -> np.ndarray:
@@ -165,7 +200,8 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
     starts in a document with a smaller id; windows are judged on the input.  Spans
     are (start, end) in words.  Null and empty texts have no words; a null id is
     smaller than any other, and rows that share an id are one document for the
-    comparison; an empty table gives no rows; other columns are not looked at.
+    comparison, however many chunks they fill; an empty table gives no rows; other
+    columns are not looked at.
     """
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
@@ -173,35 +209,36 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
     groups = max(partitions(spark), -(-size // group_bytes))
     table = store_chunks(df, text, id, chunks)
     levels = prefix_levels(table, groups)
+    rows = ranked(table)
 
     def hand_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, texts in _gathered(batches):
-            group, suffix, _ = _suffixes(word_hashes(texts), levels, groups)
-            order = np.lexsort([suffix, group])
-            group, suffix = group[order], suffix[order]
-            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-            rows = [
-                (int(group[a]), int(chunk), _packed(np.unique(suffix[a:b])))
-                for a, b in zip(cuts, np.append(cuts[1:], len(group)) if len(group) else [])
+        for chunk, texts, ranks in _gathered(batches):
+            group, suffix, doc = _suffixes(word_hashes(texts), levels, groups)
+            order, new, handed, row = _leaves(group, suffix, ranks[doc])
+            first = order[new][handed]
+            found = [
+                (int(group[x[0]]), int(chunk), int(ranks[doc[x[0]]]), _packed(suffix[x]))
+                for x in (np.split(first, row[1:]) if len(row) else [])
             ]
-            yield pd.DataFrame(rows, columns=["g", "chunk", "suffixes"])
+            yield pd.DataFrame(found, columns=["g", "chunk", "rank", "suffixes"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
+        pdf = pdf.sort_values("rank", kind="stable")
         parts = [_unpacked(x) for x in pdf["suffixes"]]
         suffix = np.concatenate(parts)
-        # Leaves in order of suffix, then of chunk: the first leaf of a run is the earliest.
+        size = [len(x) for x in parts]
+        rank = np.repeat(pdf["rank"].to_numpy(), size)
+        # Leaves in order of suffix, then of rank: the first leaf of a run is the earliest.
         order = np.argsort(suffix, kind="stable")
-        deep = np.concatenate([[False], suffix[order][1:] == suffix[order][:-1]])
+        rank, deep = rank[order], np.concatenate([[False], suffix[order][1:] == suffix[order][:-1]])
         later = np.zeros(len(suffix), bool)
-        later[order] = deep
-        ends = np.cumsum([len(x) for x in parts])
-        bits = [zlib.compress(np.packbits(x).tobytes(), 1) for x in np.split(later, ends[:-1])]
-        return pd.DataFrame({"g": pdf["g"], "chunk": pdf["chunk"], "bits": bits})
+        later[order] = rank > rank[~deep][np.cumsum(~deep) - 1]
+        bits = [zlib.compress(np.packbits(x).tobytes(), 1) for x in np.split(later, np.cumsum(size)[:-1])]
+        return pd.DataFrame({"g": pdf["g"], "chunk": pdf["chunk"], "rank": pdf["rank"], "bits": bits})
 
-    sorted_rows = table.select("chunk", "text").sortWithinPartitions("chunk")
-    handed = sorted_rows.mapInPandas(hand_in, "g int, chunk int, suffixes binary")
-    answers = handed.groupBy("g").applyInPandas(answer, "g int, chunk int, bits binary")
+    sorted_rows = rows.select("chunk", "rank", "text").sortWithinPartitions("chunk", "rank")
+    handed_in = sorted_rows.mapInPandas(hand_in, "g int, chunk int, rank long, suffixes binary")
+    answers = handed_in.groupBy("g").applyInPandas(answer, "g int, chunk int, rank long, bits binary")
 
     kind = df.schema[id].dataType.simpleString()
 
@@ -210,22 +247,21 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
         texts = rows["text"].tolist()
         words = word_hashes(texts)
         group, suffix, doc = _suffixes(words, levels, groups)
-        replies = {g: b for g, b in zip(bits["g"], bits["bits"])}
-        order = np.lexsort([doc, suffix, group])
-        g, s, d = group[order], suffix[order], doc[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])]) if len(g) else np.zeros(0, bool)
-        later = [
-            np.unpackbits(np.frombuffer(zlib.decompress(replies[x]), np.uint8))[:n]
-            for x, n in zip(*np.unique(g[new], return_counts=True))
-        ]
-        run = np.cumsum(new) - 1
-        earlier = np.concatenate(later).astype(bool)[run] if len(g) else new
+        order, new, handed, row = _leaves(group, suffix, rows["rank"].to_numpy()[doc])
+        first = order[new][handed]
+        replies = {(x, r): b for x, r, b in zip(bits["g"], bits["rank"], bits["bits"])}
+        later = np.zeros(len(first), bool)
+        for at, n in zip(row, np.diff(np.append(row, len(first)))):
+            reply = replies[group[first[at]], rows["rank"].iat[doc[first[at]]]]
+            later[handed[at : at + n]] = np.unpackbits(np.frombuffer(zlib.decompress(reply), np.uint8))[:n]
+        d, run = doc[order], np.cumsum(new) - 1
+        earlier = later[run] if len(first) else new
         # Documents of the chunk in order of id; rows that share an id count as one.
         same, null = rows["own"].to_numpy(), rows["none"].to_numpy()
         rank = np.cumsum(np.concatenate([[0], (same[1:] != same[:-1]) | (null[1:] != null[:-1])])) if len(rows) else same
         rank = rank.astype(np.int64)
-        repeated = np.zeros(len(g), bool)
-        repeated[order] = earlier | (rank[d] > rank[d[new]][run]) if len(g) else earlier
+        repeated = np.zeros(len(order), bool)
+        repeated[order] = earlier | (rank[d] > rank[d[new]][run]) if len(order) else earlier
         ids = [None if n else k for k, n in zip(same.tolist(), null.tolist())]
         out, at = [], 0
         for key_, t, h in zip(ids, texts, words):
@@ -246,7 +282,7 @@ def repeated_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", c
         return result
 
     schema = f"id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
-    done = table.drop("id").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
+    done = rows.drop("id").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
     return done.withColumnRenamed("id", id)
 
 
