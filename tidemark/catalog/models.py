@@ -8,7 +8,7 @@ from tidemark import fixtures as fx
 from tidemark.catalog.base import FEATURE_SQL, FEATURES, PREDICTIONS, query, r, rounded
 from tidemark.catalog.features import features, table
 from tidemark.operators import explain as ex
-from tidemark.operators.models import evaluate, train, train_eval
+from tidemark.operators.models import Scorecard, evaluate, train, train_eval
 from tidemark.operators.stats import seeded_sample
 from tidemark.operators.trees import Leaves, forest_leaves, tree_attributions
 from tidemark.plans.modelling import explain_model, faithfulness_table, first_rows
@@ -254,3 +254,92 @@ def forest_attributions(spark, sf):
     df = training_table(spark, sf)
     leaves = forest_leaves(fitted(df, "random_forest"))
     return tree_attributions(df.where("split = 'test'"), leaves, FEATURES, ["Symbol", "Date"])
+
+
+# Two planted scorecards and the centers their attributions start from.
+_SCORED = ["return_1d", "rsi_14", "volume_ratio", "bb_pct_b"]
+_CARDS = {
+    "steep": Scorecard("steep", _SCORED, [[-0.4, -0.02, 0.1, -0.3], [0.1, 0.01, -0.2, 0.2], [0.5, 0.02, 0.1, 0.4]], [1.2, 0.3, -0.9]),
+    "flat": Scorecard("flat", _SCORED, [[0.2, 0.01, 0.05, 0.1], [-0.1, -0.01, 0.3, -0.2], [0.3, 0.005, -0.1, 0.1]], [0.1, 0.8, 0.2]),
+}
+_CENTERS = [(0, 5, [0.1, 45.0, 1.0, 0.5]), (1, 3, [-0.2, 60.0, 0.8, 0.7]), (2, 8, [0.3, 50.0, 1.5, 0.2])]
+_IMPORTANT = {"steep": ("rsi_14", "return_1d"), "flat": ("volume_ratio", "bb_pct_b")}
+
+
+def _score_sql(card: Scorecard, k: int, zero: str = "") -> str:
+    terms = [f"{w!r}E0 * {'0.0E0' if f == zero else f}" for f, w in zip(card.features, card.weights[k])]
+    return " + ".join([f"{card.base[k]!r}E0", *terms])
+
+
+def _center_sql(i: int) -> str:
+    upto, cases = 0, []
+    for _, size, values in _CENTERS:
+        upto += size
+        cases.append(f"WHEN draw < {upto} THEN {values[i]!r}E0")
+    return f"CASE {' '.join(cases)} END"
+
+
+_WALKS = f"""WITH {FEATURE_SQL},
+x AS (SELECT concat_ws('|', Symbol, CAST(Date AS VARCHAR)) AS row_id, {', '.join(_SCORED)} FROM feat WHERE split = 'test'),
+d AS (SELECT x.*, {sum(size for _, size, _ in _CENTERS)} * (('0x' || substr(md5(concat_ws('-', row_id, CAST(perm AS VARCHAR), 'center')), 1, 8))::UBIGINT / 4294967296E0) AS draw
+      FROM x, (SELECT unnest(range(8)) AS perm) p),
+m AS (SELECT row_id, {', '.join(f'max({f}) AS {f}, avg({_center_sql(i)}) AS c{i}' for i, f in enumerate(_SCORED))} FROM d GROUP BY row_id)
+""" + " UNION ALL ".join(
+    f"SELECT row_id, '{f}' AS feature, {k} AS class, {r(f)} AS raw_value, "
+    f"{r(f'{_CARDS["steep"].weights[k][i]!r}E0 * ({f} - c{i})', 8)} AS attribution FROM m"
+    for i, f in enumerate(_SCORED)
+    for k in range(3)
+)
+
+
+@query("scorecard_attributions", _WALKS)
+def scorecard_attributions(spark, sf):
+    """Sampled Shapley values of every test row under a scorecard: weight times distance from the centers drawn."""
+    key = F.concat_ws("|", F.col("Symbol").cast("string"), F.col("Date").cast("string"))
+    rows = stored(features(spark, sf).where("split = 'test'").select(key.alias("row_id"), *_SCORED), "explained")
+    centers = spark.createDataFrame(_CENTERS, "center int, size long, values array<double>")
+    return rounded(ex.shapley(_CARDS["steep"], rows, centers), attribution=8)
+
+
+def _masked_sql(name: str, source: str) -> str:
+    """Scores of a scorecard as they are and with a feature set to zero, in the class of the highest."""
+    card, (top, control) = _CARDS[name], _IMPORTANT[name]
+    parts = [f"{_score_sql(card, k, zero)} AS {p}{k}" for p, zero in (("b", ""), ("t", top), ("o", control)) for k in range(3)]
+    at = lambda p: f"CASE WHEN b0 >= b1 AND b0 >= b2 THEN {p}0 WHEN b1 >= b2 THEN {p}1 ELSE {p}2 END"
+    return (
+        f"SELECT '{name}' AS model, Symbol, Date, CAST({at('class').replace('class', '')} AS INTEGER) AS pred_class, "
+        f"{at('b')} AS base, {at('t')} AS top, {at('o')} AS ctl FROM (SELECT Symbol, Date, {', '.join(parts)} FROM {source}) s"
+    )
+
+
+@query(
+    "scorecard_masking",
+    f"WITH {FEATURE_SQL}, x AS (SELECT * FROM feat WHERE split = 'test'), m AS ({_masked_sql('steep', 'x')}) "
+    f"SELECT Symbol, Date, pred_class, {r('base')} AS baseline_confidence, {r('base - top')} AS top_confidence_drop, "
+    f"{r('base - ctl')} AS control_confidence_drop, {r('(base - top) / greatest(1E-5, base - ctl)', 3)} AS faithfulness_ratio FROM m",
+)
+def scorecard_masking(spark, sf):
+    """Masking test of every test row under a scorecard."""
+    out = ex.masked_confidences(_CARDS["steep"], features(spark, sf).where("split = 'test'"), *_IMPORTANT["steep"])
+    cols = ["baseline_confidence", "top_confidence_drop", "control_confidence_drop", "faithfulness_ratio"]
+    return rounded(ex.row_faithfulness(out).select("Symbol", "Date", "pred_class", *cols), faithfulness_ratio=3)
+
+
+_NAMED = "CASE model " + " ".join(f"WHEN '{m}' THEN '{{{i}}}'" for i, m in enumerate(_IMPORTANT)) + " END"
+_AGGREGATED = f"""WITH {FEATURE_SQL},
+x AS (SELECT * FROM feat WHERE split = 'test' ORDER BY md5(concat_ws('|', Symbol, CAST(Date AS VARCHAR), '42')), Symbol, Date LIMIT 500),
+c AS ({' UNION ALL '.join(_masked_sql(m, 'x') for m in _CARDS)}),
+d AS (SELECT model, base, base - top AS dt, base - ctl AS dc FROM c)
+SELECT model, {_NAMED.format(*[t for t, _ in _IMPORTANT.values()])} AS top_feature,
+       {_NAMED.format(*[c for _, c in _IMPORTANT.values()])} AS control_feature,
+""" + _DROPS[_DROPS.index("count(*) AS instances") :]
+
+
+@query("scorecard_faithfulness", _AGGREGATED)
+def scorecard_faithfulness(spark, sf):
+    """Aggregated masking test of both scorecards over the same 500 sampled rows, features by importance."""
+    ranks = {
+        m: spark.createDataFrame([(top, 0.9), ("macd", 0.5), (control, 0.1)], "feature string, importance double")
+        for m, (top, control) in _IMPORTANT.items()
+    }
+    return faithfulness_table(_CARDS, ranks, features(spark, sf).where("split = 'test'"))
