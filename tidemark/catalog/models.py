@@ -15,6 +15,7 @@ from tidemark.plans.modelling import explain_model, faithfulness_table, first_ro
 from tidemark.sources.storage import fresh_path, stored
 
 LABEL = "target_classification"
+# Models behind queries about something else than the fit; fitting the presets takes minutes.
 SMALL = {
     "random_forest": dict(numTrees=10, maxDepth=5),
     "xgboost": dict(maxIter=3, maxDepth=3),
@@ -27,26 +28,26 @@ def training_table(spark, sf):
     return stored(table(spark, sf).select("split", "Symbol", "Date", *FEATURES, LABEL), "features")
 
 
-def fitted(df, name: str):
-    return train(df.where("split = 'train'"), FEATURES, LABEL, name, **SMALL[name])
+def fitted(df, name: str, **params):
+    return train(df.where("split = 'train'"), FEATURES, LABEL, name, **(params or SMALL[name]))
 
 
-def fit_query(key: str, *names: str):
+def fit_query(key: str, *names: str, **params):
     def run(spark, sf):
         """Metrics of each split after fitting on train."""
         df = training_table(spark, sf)
         out = None
         for name in names:
-            part = evaluate(fitted(df, name), df, LABEL).withColumn("model", F.lit(name))
+            part = evaluate(fitted(df, name, **params), df, LABEL).withColumn("model", F.lit(name))
             out = part if out is None else out.unionByName(part)
         return rounded(out)
 
     query(key)(run)
 
 
-fit_query("fit_rf", "random_forest")
+fit_query("fit_rf", "random_forest", numTrees=200, maxDepth=8)
 fit_query("fit_gbt", "xgboost", "lightgbm")
-fit_query("fit_mlp", "neural_baseline")
+fit_query("fit_mlp", "neural_baseline", hidden=(128, 64, 32), maxIter=100)
 
 
 @query("train_eval")
@@ -71,7 +72,7 @@ def background_kmeans(spark, sf):
     return ex.background(training_table(spark, sf), FEATURES, 10)
 
 
-def explained(spark, sf, n: int = 40, permutations: int = 4):
+def explained(spark, sf, n: int = 5000, permutations: int = 8):
     df = training_table(spark, sf)
     model = fitted(df, "random_forest")
     rows = stored(first_rows(df.where("split = 'test'"), n), "explained")
@@ -103,7 +104,7 @@ def faithfulness(spark, sf):
 @query("explain_first_row")
 def explain_first_row(spark, sf):
     df = training_table(spark, sf)
-    out = explain_model(fitted(df, "random_forest"), df.where("split = 'test'"), 40, 4)[2]
+    out = explain_model(fitted(df, "random_forest"), df.where("split = 'test'"))[2]
     return out.select("Symbol", "Date", "pred_class", "baseline_confidence", "top_confidence_drop", "control_confidence_drop", "faithfulness_ratio")
 
 
