@@ -1,13 +1,22 @@
 """Data sources of bar files."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
 from pyspark.sql.types import StructType
 
-from tidemark.sources.symbol_files import LandedReader, provider_scan, write_symbol_files
+from tidemark.sources.symbol_files import (
+    FILE_COLUMN,
+    LandedReader,
+    SymbolBatchWriter,
+    SymbolFiles,
+    SymbolFileWriter,
+    provider_scan,
+    write_symbol_files,
+)
 
 BARS = "Symbol string, Date date, Open double, High double, Low double, Close double, Volume double"
 
@@ -70,3 +79,38 @@ def test_planned_files(tmp_path):
     bounds = [GreaterThanOrEqual(("Date",), dt.date(2020, 1, 4)), LessThan(("Date",), dt.date(2020, 1, 6))]
     assert list(reader.pushFilters(bounds)) == bounds
     assert [p.rsplit("/", 1)[1] for part in reader.partitions() for p in part.paths] == ["2020-01-04.csv", "2020-01-05.csv"]
+
+
+def test_batches_give_the_text_of_rows(spark, tmp_path):
+    kinds = f"Symbol string, Date date, x double, y float, n long, b boolean, d decimal(9,2), {FILE_COLUMN} string"
+    day, nan = dt.date(2020, 2, 29), float("nan")
+    data = [
+        ('q,"x"', day, 1e16, 0.1, -5, True, Decimal("1.50"), "a"),
+        ("line\nend", None, 1e-5, 1.5, None, False, None, "a"),
+        (None, day, nan, nan, 2**62, None, Decimal("-0.01"), "a"),
+        ("", day, float("-inf"), None, 0, True, Decimal("0.00"), "b"),
+        ("é", day, -0.0, -0.0, 7, True, Decimal("9999999.99"), "b"),
+        ("é", day, 0.0, 0.1, 7, True, None, "c"),
+        ("é", day, None, 1e30, 7, True, None, "c"),
+    ]
+    df = spark.createDataFrame(data, kinds).coalesce(1)
+    source = SymbolFiles({"path": str(tmp_path / "batch")})
+    assert isinstance(source.writer(df.schema, False), SymbolBatchWriter)
+    by_row = SymbolFileWriter(str(tmp_path / "row"), df.schema)
+    by_row.commit([by_row.write(iter(df.collect()))])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # files over several batches
+    try:
+        spark.dataSource.register(SymbolFiles)
+        df.write.format("symbol_files").mode("append").save(str(tmp_path / "batch"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    text = lambda at: {p.name: p.read_bytes() for p in (tmp_path / at).iterdir()}
+    assert set(text("row")) == {"a.csv", "b.csv", "c.csv"} and text("batch") == text("row")
+
+
+def test_other_types_go_row_by_row(spark, tmp_path):
+    at = dt.datetime(2020, 1, 1, 9, 30)
+    df = spark.createDataFrame([("A", at, 1.0)], "Symbol string, Date timestamp, Close double")
+    assert not isinstance(SymbolFiles({"path": "x"}).writer(df.withColumn(FILE_COLUMN, F.lit("A")).schema, False), SymbolBatchWriter)
+    write_symbol_files(df, str(tmp_path / "out"))
+    assert (tmp_path / "out" / "A.csv").read_text() == f"Symbol,Date,Close\nA,{at},1.0\n"
