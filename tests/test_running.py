@@ -1,5 +1,9 @@
 """All indicators come from one pass over sorted rows: no window with a sliding frame, whatever the batches."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -70,3 +74,9 @@ def test_helpers_end_with_the_pass(spark):
     out = add_running(df, "row", {"__s": Over("sum", "__x"), "d": Between(("__s", "__x")), "t": Over("sum", "n")})
     assert out.dtypes == [("k", "string"), ("row", "int"), ("n", "int"), ("d", "double"), ("t", "double")]
     assert [tuple(r) for r in out.orderBy(F.col("row")).collect()] == [("a", 0, 5, 0.0, 5.0), ("a", 1, None, 1.0, 5.0)]
+
+
+def test_recipes_need_no_session():
+    code = "import __spark_entry__ as e; assert 'feature_table' in e.queries()"
+    root = Path(__file__).resolve().parents[1]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
