@@ -2,7 +2,8 @@
 
 Rows and anchors are dealt into blocks of a fixed number of rows, and every block of
 anchors meets every block of rows once, as one tile: the anchors are a stated query
-set.  In a tile the components of several rows, biased so that none is negative, lie
+set.  Tasks read the stored blocks side by side; no copy of a block is shuffled or
+broadcast.  In a tile the components of several rows, biased so that none is negative, lie
 side by side in the fields of one wide integer.  A field is wide enough for the whole
 inner product of biased components, so one multiplication per anchor component adds to
 all fields at once and no field reaches its neighbour; taking the biases off again
@@ -45,7 +46,7 @@ def extent(rows: DataFrame) -> tuple[int, int, int]:
     return n, dim or 0, top or 0
 
 
-def blocks(rows: DataFrame, n: int, size: int, dim: int) -> tuple[DataFrame, int]:
+def blocks(rows: DataFrame, n: int, size: int, dim: int) -> DataFrame:
     """One row per block of about ``size`` rows, in order of id; vectors filled up with zeros."""
     count = max(1, -(-n // size))
 
@@ -62,7 +63,7 @@ def blocks(rows: DataFrame, n: int, size: int, dim: int) -> tuple[DataFrame, int
 
     schema = pa.schema([("tag", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("q", pa.list_(pa.int64()))])
     dealt = rows.select("tag", "id", "label", "q").repartition(count)
-    return stored(dealt.mapInArrow(gather, BLOCK), "blocks"), count
+    return stored(dealt.mapInArrow(gather, BLOCK), "blocks")
 
 
 def packed(q: np.ndarray, bias: int, width: int) -> np.ndarray:
@@ -115,12 +116,14 @@ def best(scores: np.ndarray, allowed: np.ndarray, k: int) -> Iterator[tuple[np.n
         left[lines, at[lines]] = low
 
 
-def tiles(anchors: tuple[DataFrame, int], rows: tuple[DataFrame, int]) -> DataFrame:
-    """Every block of anchors (columns a_*) beside every block of rows, by number."""
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = anchors[0].select(*[F.col(c).alias(f"a_{c}") for c in anchors[0].columns], numbers(rows[1]).alias("block"))
-    right = rows[0].withColumn("a_block", numbers(anchors[1]))
-    return left.join(right, ["a_block", "block"])
+def tiles(anchors: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every block of anchors (columns a_*) beside every block of rows, both stored tables.
+
+    Parts of both tables meet as they lie.  An exchange would carry a copy of each block per
+    block it meets, and by their files' size, which knows nothing of copies, Spark might even
+    broadcast them.  A task keeps its part of the anchors and streams the rows.
+    """
+    return rows.hint("shuffle_replicate_nl").crossJoin(anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns]))
 
 
 def _tile(batch: pa.RecordBatch, i: int, dim: int) -> dict:
@@ -188,11 +191,11 @@ def hard_negatives(
     found = stored(near.withColumn("slot", place).where(F.col("slot") <= positives), "positives")
     # Everything an anchor asks for, in its block's row: lists as long as the block, bounded like it.
     slots = found.groupBy("a_tag").agg(F.sort_array(F.collect_list(F.struct("slot", "p_score"))).alias("s"))
-    of_block = lines[0].select(F.col("block"), F.posexplode("tag").alias("pos", "a_tag")).join(slots, "a_tag")
+    of_block = lines.select(F.col("block"), F.posexplode("tag").alias("pos", "a_tag")).join(slots.hint("merge"), "a_tag")
     wanted = of_block.groupBy("block").agg(
         *[F.collect_list(c).alias(n) for c, n in ((F.col("pos").cast("long"), "pos"), (F.transform("s", lambda x: x["p_score"]), "scores"))]
     )
-    asking = lines[0].join(wanted, "block")
+    asking = stored(lines.join(wanted.hint("merge"), "block"), "asking")
 
     def other_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,10 +221,10 @@ def hard_negatives(
                             ["a_tag", "slot", "n_tag", "negative_id", "negative_score"],
                         )
 
-    far = tiles((asking, lines[1]), every).mapInArrow(other_label, "a_tag long, slot int, n_tag long, negative_id long, negative_score long")
+    far = tiles(asking, every).mapInArrow(other_label, "a_tag long, slot int, n_tag long, negative_id long, negative_score long")
     rank = F.row_number().over(first(["a_tag", "slot"], "negative_score", "negative_id", "n_tag"))
     ranked = far.withColumn("rank", rank).where(F.col("rank") <= negatives)
-    named = found.join(rows.select(F.col("tag").alias("a_tag"), F.col("id").alias("anchor_id")), "a_tag")
+    named = found.hint("merge").join(rows.select(F.col("tag").alias("a_tag"), F.col("id").alias("anchor_id")), "a_tag")
     return named.join(ranked, ["a_tag", "slot"]).select(
         "anchor_id", F.col("p_id").alias("positive_id"), "rank", "negative_id", F.col("p_score").alias("positive_score"), "negative_score"
     )
