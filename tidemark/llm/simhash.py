@@ -105,7 +105,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     """
     visited = visits(fps)
     busy = visited.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("cell")
-    met = visited.join(busy, "cell")
+    # Spark takes up to 33 visits for the size of one fingerprint, so it would broadcast millions of cells.
+    met = visited.join(busy.hint("merge"), "cell")
     fp, s = F.col("fp"), F.col("segment")
     bits = F.array(*[F.lit(i) for i in range(SEGMENT)])
     flipped = F.transform(bits, lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), SEGMENT * s + i)))
